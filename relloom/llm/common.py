@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,3 +108,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = texts.join(F.broadcast(wanted), "doc_id").collect()
     return sorted({(r["doc_id"], r["text"], r["label"]) for r in rows})
+
+
+class WordRows(dict):
+    """Words to rows of a float32 matrix that ``make`` fills on first sight; at ``cap`` words it starts anew."""
+
+    #: Words that are looked up at a time, so that a very long text can't outgrow the matrix.
+    STEP = 1 << 16
+
+    def __init__(self, make, width: int, cap: int = 250_000):
+        super().__init__()
+        self.make, self.cap = make, cap
+        self.matrix = np.zeros((1 << 12, width), np.float32)
+
+    def __missing__(self, word):
+        row = len(self)
+        if row == len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[row] = self.make(word)
+        self[word] = row
+        return row
+
+    def parts(self, words: list):
+        """The rows of each step of ``words``."""
+        for k in range(0, len(words), self.STEP):
+            if len(self) > self.cap:
+                self.clear()
+            part = words[k : k + self.STEP]
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            yield at, self.matrix[at]
+
+    def total(self, words: list) -> np.ndarray:
+        """The sum of the words' rows."""
+        return sum((rows.sum(axis=0, dtype=np.float64) for _, rows in self.parts(words)), np.zeros(self.matrix.shape[1]))
+
+
+def logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
