@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, kdtree, langid, neardup, quality, tokencount, toxicity
+from . import bpe, decontam, grulm, kdtree, langid, neardup, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(_table(spark, sf_dir, "documents"), spec)
 
 
+def op10_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grulm.scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_gru_score": op10_gru_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM i WHERE len(ws) > 0),
         s AS (SELECT DISTINCT size FROM g),
         places AS (SELECT doc_id, size, ws, unnest(range(1, len(ws) - size + 2)) AS k FROM d JOIN s ON len(ws) >= size),
-        hit AS (SELECT doc_id, k, places.size AS size, item_id FROM places JOIN g ON g.size = places.size AND g.gram = array_to_string(ws[k:k + at.size - 1], ' ')),
+        hit AS (SELECT doc_id, k, places.size AS size, item_id FROM places JOIN g ON g.size = places.size AND g.gram = array_to_string(ws[k:k + places.size - 1], ' ')),
         words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) FROM hit) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
