@@ -329,7 +329,19 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """Whole rows of one document of each component: the one with the smallest id, once."""
-    kept = components(docs).where("kept").select(F.col("doc_id").alias("relloom_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long") == kept["relloom_kept"], "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Whole rows of one document of each component: the one with the smallest id, once; rows with null id are left alone."""
+    found = materialize(components(docs).where("doc_id is not null").select("doc_id", "kept"))
+    key = docs["doc_id"].cast("long")
+
+    def listed(ids: DataFrame) -> DataFrame:
+        ids = materialize(ids.select(F.col("doc_id").alias("relloom_id")).distinct())
+        return F.broadcast(ids) if ids.count() <= FEW else ids
+
+    gone = listed(found.where("not kept"))
+    rows = docs.join(gone, key == gone["relloom_id"], "left_anti")
+    twice = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return rows
+    twice = listed(twice)
+    again = rows.join(twice, key == twice["relloom_id"], "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(twice, key == twice["relloom_id"], "left_anti").union(again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, grulm, kdtree, langid, neardup, quality, tokencount, toxicity
+from . import bpe, decontam, grulm, kdtree, langid, neardup, quality, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.load_ranks(public_tokenizers.path("word_bpe_49k.json")).decode()
     return tokencount.counts(_table(spark, sf_dir, "documents"), spec)
@@ -61,6 +65,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_gru_score": op10_gru_score,
 }
