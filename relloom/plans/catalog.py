@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import ranking, sampled
+
+PARTS = (ranking, sampled)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for part in PARTS for n, q in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: s for part in PARTS for n, s in part.ORACLE_SQL.items()}
