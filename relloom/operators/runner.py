@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Client = Callable[[list[str]], list[str | None]]
 
@@ -35,7 +36,7 @@ def retried(client: Client, times: int) -> Client:
 
 def called(df: DataFrame, prompt: str, output: str, client: Client, retries: int = 1) -> DataFrame:
     """``df`` with the client's answer to each prompt; null where it gave none."""
-    schema = df.schema.add(output, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
     ask = retried(client, retries)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,8 @@ RAW_SHARE, LONGEST_RUN, MOST = 1 / 11, 1000, 10
 
 def chosen_content(content: Column, raw: Column, u: Column) -> Column:
     """Content ten times as often as raw text; raw text only if its longest base64 run is short; whichever is there."""
-    has, usable = F.coalesce(content, F.lit("")) != "", (F.coalesce(raw, F.lit("")) != "") & (base64_run(F.coalesce(raw, F.lit(""))) < LONGEST_RUN)
+    content, raw = strip(F.coalesce(content, F.lit(""))), strip(F.coalesce(raw, F.lit("")))
+    has, usable = content != "", (raw != "") & (base64_run(raw) < LONGEST_RUN)
     return F.when(has & usable, F.when(u < 1 - RAW_SHARE, content).otherwise(raw)).when(has, content).when(usable, raw)
 
 

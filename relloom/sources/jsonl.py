@@ -29,7 +29,7 @@ def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     file = F.input_file_name()
     first, *rest = df.columns
     value = F.col(first)
-    for name, rule in rules.items():
+    for name, rule in reversed(rules.items()):
         value = F.when(F.coalesce(rule, F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), file)))
     return df.select(value.alias(first), *rest)
 

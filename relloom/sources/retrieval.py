@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import title_text
 
@@ -39,7 +40,7 @@ def encoded(df: DataFrame, text: str, encoder, output: str = "vector") -> DataFr
         for part in parts:
             yield part.assign(**{output: pd.Series([list(map(float, v)) for v in encoder(part[text].tolist())], index=part.index)})
 
-    return df.mapInPandas(run, df.schema.add(output, "array<float>"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))]))
 
 
 def shards(spark: SparkSession, pattern: str) -> DataFrame:
