@@ -64,12 +64,11 @@ def without_tags(text, tags: tuple[str, ...] = ("contribution", "evidence")) ->
 
 def judge_scores(text, fields: tuple[str, ...] = SCORE_FIELDS) -> Column:
     """A struct of all fields' scores 1 to 5 inside the scores element, or null if any is missing."""
+    # bound by one-element arrays, so that each part is evaluated once
     block = F.regexp_extract(_column(text), r"(?s)<scores>(.*?)</scores>", 1)
-    found = {f: F.regexp_extract(block, rf"<{f}>\s*([1-5])\s*</{f}>", 1) for f in fields}
-    complete = F.lit(True)
-    for value in found.values():
-        complete = complete & (value != "")
-    return F.when(complete, F.struct(*[F.when(v != "", v).cast("int").alias(f) for f, v in found.items()]))
+    found = F.transform(F.array(block), lambda b: F.array(*[F.regexp_extract(b, rf"<{f}>\s*([1-5])\s*</{f}>", 1) for f in fields]))
+    scores = F.transform(found, lambda v: F.when(F.forall(v, lambda x: x != ""), F.struct(*[F.when(F.get(v, F.lit(i)) != "", F.get(v, F.lit(i))).cast("int").alias(f) for i, f in enumerate(fields)])))
+    return F.get(scores, F.lit(0))
 
 
 def script_count(text, script: str) -> Column:
