@@ -13,7 +13,6 @@ training rows everything is ``und``. Repeated rows are judged alike; only id, te
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +32,14 @@ def grams(word: str) -> list[str]:
     return [g for n in (1, 2, 3) for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) != "_"]
 
 
+def packed(gram: str) -> int:
+    """An n-gram as one number: 21 bits a character, exact."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
 def profile(texts: list[str]) -> list[str]:
     """The most frequent n-grams, most frequent first, ties in alphabetical order."""
     words = Counter(w for t in texts for w in WORDS.findall(t.lower()))
@@ -46,35 +53,74 @@ def profile(texts: list[str]) -> list[str]:
 class Profiles:
     def __init__(self, ranked: dict[str, list[str]]):
         self.names = sorted(ranked)
-        self.slots = {g: k for k, g in enumerate(sorted({g for x in ranked.values() for g in x}))}
-        self.ranks = np.full((len(self.slots) + OVERFLOW, len(self.names)), RANKS, np.int32)
+        shown = sorted({g for x in ranked.values() for g in x}, key=packed)
+        self.keys = np.array([packed(g) for g in shown], np.uint64)
+        self.slots = {g: k for k, g in enumerate(shown)}
+        self.ranks = np.full((len(shown) + OVERFLOW, len(self.names)), RANKS, np.int32)
         for j, name in enumerate(self.names):
             for rank, g in enumerate(ranked[name]):
                 self.ranks[self.slots[g], j] = rank
         self.present = self.ranks < RANKS
-        self.cache = Cache(self.word, 250_000)
-
-    def word(self, word: str) -> np.ndarray:
-        first = len(self.slots)
-        return np.array([self.slots[g] if g in self.slots else first + zlib.crc32(g.encode()) % OVERFLOW for g in grams(word)], np.int32)
-
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """The nearest language, and how clearly it is nearer than the next (0 to 1)."""
-        words = Counter(WORDS.findall(text.lower())) if text else None
-        if not words or not self.names:
-            return "und", 0.0
+        self.cache = Cache(None, 250_000)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Slots of the n-grams of every run of letters in each piece, all pieces at once."""
+        runs = [WORDS.findall(p.lower()) for p in pieces]
+        words = [w for found in runs for w in found]
+        piece_of = np.repeat(np.arange(len(pieces)), [len(found) for found in runs])
+        slots, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        if words:
+            codes = np.frombuffer(("_" + "_".join(words) + "_").encode("utf-32-le"), np.uint32).astype(np.uint64)
+            mark = codes == ord("_")  # no run of letters holds one
+            word_at = np.minimum(np.cumsum(mark) - 1, len(words) - 1)  # a mark counts with the word behind it
+            for n in (1, 2, 3):
+                key = np.zeros(len(codes) - n + 1, np.uint64)
+                for k in range(n):
+                    key = (key << np.uint64(21)) | codes[k : len(codes) - n + 1 + k]
+                inside = ~mark if n == 1 else np.ones(len(key), bool) if n == 2 else ~mark[1:-1]
+                key, owner = key[inside], piece_of[word_at[: len(inside)][inside]]
+                at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+                rest = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+                known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+                slots.append(np.where(known, at, len(self.keys) + (rest % np.uint64(OVERFLOW)).astype(np.int64)).astype(np.int32))
+                owners.append(owner)
+        slots, owners = np.concatenate(slots), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        ends = np.cumsum(np.bincount(owners, minlength=len(pieces))) if pieces else []
+        slots, first = slots[order], 0
+        for piece, end in zip(pieces, ends):
+            self.cache[piece] = slots[first:end].copy()
+            first = end
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the nearest language, and how clearly it is nearer than the next (0 to 1)."""
+        cut = [Counter(t.split()) if t else {} for t in texts]
         self.cache.trim()
-        arrays = list(map(self.cache.__getitem__, words))
+        fresh = set().union(*cut) - self.cache.keys()
+        for piece in [p for p in fresh if p in self.cache.old]:
+            self.cache[piece] = self.cache.old[piece]
+            fresh.discard(piece)
+        fresh = list(fresh)
+        for k in range(0, len(fresh), 1 << 15):
+            self.learn(fresh[k : k + (1 << 15)])
+        return [self.nearest(c) for c in cut]
+
+    def nearest(self, pieces: dict[str, int]) -> tuple[str, float]:
+        arrays = list(map(self.cache.__getitem__, pieces))
         sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        ids = np.concatenate(arrays)
-        weights = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
-        counts = np.bincount(ids, weights, len(self.ranks))
-        order = np.argsort(-counts, kind="stable")[: min(RANKS, np.count_nonzero(counts))]
-        theirs = self.ranks[order]
-        apart = np.where(self.present[order], np.abs(theirs - np.arange(len(order))[:, None]), RANKS).sum(axis=0)
+        if not self.names or not sizes.any():
+            return "und", 0.0
+        weights = np.repeat(np.fromiter(pieces.values(), np.float64, len(pieces)), sizes)
+        counts = np.bincount(np.concatenate(arrays), weights, len(self.ranks))
+        there = np.flatnonzero(counts)
+        order = there[np.argsort(-counts[there], kind="stable")[:RANKS]]
+        apart = np.where(self.present[order], np.abs(self.ranks[order] - np.arange(len(order))[:, None]), RANKS).sum(axis=0)
         best = int(apart.argmin())
         rest = np.delete(apart, best)
-        return self.names[best], float(1 - apart[best] / (apart[best] + rest.min())) if len(rest) and apart[best] + rest.min() else 1.0 - float(apart[best]) / (RANKS * len(order))
+        if not len(rest):
+            return self.names[best], 1.0 - float(apart[best]) / (RANKS * len(order))
+        both = float(apart[best] + rest.min())
+        return self.names[best], 1 - float(apart[best]) / both if both else 1.0
 
 
 def train(docs: DataFrame, mod: int = 4, rest: int = 2, known: DataFrame | None = None) -> Profiles:
@@ -101,7 +147,7 @@ def predict(docs: DataFrame, profiles: Profiles, mod: int = 4, rest: int = 2) ->
     def run(batches):
         mine = shared.value
         for b in batches:
-            found = [mine.judge(t) for t in b.column(2).to_pylist()]
+            found = mine.judge(b.column(2).to_pylist())
             yield batch(schema, doc_id=b.column(0), held_out=b.column(1), lang_pred=[x for x, _ in found], score=[x for _, x in found])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held("doc_id", mod, rest).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -116,6 +162,6 @@ def keep(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     def run(batches):
         mine = shared.value
         for b in batches:
-            yield b.filter(pa.array([mine.judge(t)[0] != "und" for t in b.column(column).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([x != "und" for x, _ in mine.judge(b.column(column).to_pylist())], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
