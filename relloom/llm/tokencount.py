@@ -13,7 +13,9 @@ and the tokenizer class differently, is encoded whole; repeated rows are counted
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,13 +23,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, map_batches
+from .bpe import byte_table
+from .common import batch, map_batches
 
 #: Entries of a task's summary while it reads and as it leaves, of the broadcast table, and of one worker cache generation.
 SUMMARY, SENT, TABLE, CACHED = 200_000, 2_000, 50_000, 250_000
 #: Longer pre-tokens are never remembered.
 LONGEST = 128
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: The lower-casing tokenizer's own way of cutting text, and the same cut for lower-cased Latin-1.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+LETTERS, NUMBERS = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+
+
+class Lengths(dict):
+    """Pre-tokens to token counts: the frequent table first, then this worker's two cache generations, then the tokenizer."""
+
+    def __init__(self, table: dict[str, int], make, cap: int):
+        super().__init__()
+        self.table, self.make, self.cap, self.old = table, make, cap, {}
+
+    def __missing__(self, word: str) -> int:
+        n = self.table.get(word)
+        if n is None:
+            n = self.old.get(word)
+        if n is None:
+            n = self.make(word)
+        if len(word) <= LONGEST:
+            self[word] = n
+        return n
+
+    def trim(self) -> None:
+        if len(self) > self.cap:
+            self.old = dict(self)
+            self.clear()
 
 
 class Counts:
@@ -40,41 +78,33 @@ class Counts:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.table = dict(zip(words, lengths))
-        self.cache = Cache(None, CACHED)
-
-    def encoded(self, words: list[str]) -> list[int]:
-        return [len(e.ids) for k in range(0, len(words), 4096) for e in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+        self.model, self.bytes = self.tokenizer.model, byte_table()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(spec)
+        # the short way below holds for this shape of tokenizer only; any other is asked for every miss
+        self.short = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER
+        self.lengths = Lengths(dict(zip(words, lengths)), self.length, CACHED)
+        self.parts = Lengths({}, self.part, CACHED)
+
+    def part(self, part: str) -> int:
+        return len(self.model.tokenize("".join([self.bytes[b] for b in part.encode()])))
+
+    def length(self, word: str) -> int:
+        """A miss: Latin-1 words are cut and lower-cased here, so that words which differ in case or stops share their parts."""
+        if self.short and max(word) < "\u0100" and not any(s in word for s in self.special):
+            return sum(map(self.parts.__getitem__, PARTS.findall(word.lower())))
+        return len(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def count(self, texts: list[str]) -> list[int]:
-        table, cache = self.table, self.cache
-        cache.trim()
-        cut = [[] if any(c in t for c in ODD) else t.split() for t in texts]
-        fresh = set().union(*cut) - table.keys() - cache.keys()
-        for word in [w for w in fresh if w in cache.old]:
-            cache[word] = cache.old[word]
-            fresh.discard(word)
-        fresh = list(fresh)
-        long = {}
-        for word, n in zip(fresh, self.encoded(fresh)):
-            (cache if len(word) <= LONGEST else long)[word] = n
-        tiers = Tiers(table, cache, long)
-        return [sum(map(tiers.__getitem__, words)) if words or not t else self.encoded([t])[0] for t, words in zip(texts, cut)]
-
-
-class Tiers(dict):
-    """One batch's view of the tiers: what it has looked up stays at hand."""
-
-    def __init__(self, *tiers):
-        self.tiers = tiers
-
-    def __missing__(self, key):
-        for tier in self.tiers:
-            n = dict.get(tier, key)
-            if n is not None:
-                self[key] = n
-                return n
-        raise KeyError(key)
+        found = []
+        for text in texts:
+            self.lengths.trim()
+            self.parts.trim()
+            if any(c in text for c in ODD):
+                found.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
+            else:
+                found.append(sum(map(self.lengths.__getitem__, text.split())))
+        return found
 
 
 def frequent(docs: DataFrame, table: int = TABLE) -> list[str]:
@@ -103,7 +133,7 @@ def counts(docs: DataFrame, spec: str, limit: int = 2048, table: int = TABLE) ->
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) of every whole text."""
     words = frequent(docs, table)
     counter = Counts(spec)
-    lengths = counter.encoded(words)
+    lengths = [counter.length(w) for w in words]
     words, lengths = [w for w, n in zip(words, lengths) if n < 256], bytes(n for n in lengths if n < 256)
     packed = ("\n".join(words), lengths, spec, hashlib.sha256(("\n".join(words) + spec).encode()).digest())
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # at most TABLE words of at most LONGEST characters
