@@ -17,6 +17,7 @@ score alike; only id and text are read.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from heapq import heapify, heapreplace
 from math import log10
@@ -30,18 +31,24 @@ from pyspark.sql import functions as F
 from .common import Cache, batch, held, map_batches, materialize
 
 #: Vocabulary classes and their size; classes of the other tokens; state; window; lanes side by side when training and scoring.
-CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 256
+CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 16, 32, 256, 512
 VOCABULARY = CLASSES * SIZE
 #: Tokens whose counts are broadcast; documents and characters of the driver's sample; epochs over it; windows for a gradient.
 KNOWN, FIT_DOCS, FIT_CHARS, WARM, STRIDE = 200_000, 400, 20_000, 3, 8
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
-GATHER, CACHED, FAN_IN = 1_000_000, 250_000, 32
+GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 32
 END = ""
+#: What Python takes for space besides ASCII space.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased (A-Z) words between ASCII space."""
-    return [w.decode() for w in text.encode().lower().split()] if text else []
+    if not text:
+        return []
+    small = text.encode().lower()
+    shown = small.decode()
+    return [w.decode() for w in small.split()] if ODD_SPACE.search(shown) else shown.split()
 
 
 class Vocabulary:
@@ -88,37 +95,44 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def softmax_log(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def chosen(logits: np.ndarray, at: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each row's log softmax at one column and, if asked for, all the row's probabilities."""
+    rows = np.arange(len(at))
+    logits -= logits.max()  # one shift for all; a row that it would leave without mass is shifted by its own
+    picked = logits[rows, at].astype(np.float64)
+    np.exp(logits, out=logits)
+    sums = logits.sum(axis=1)
+    if sums.min() < 1e-25:
+        logits = np.log(np.maximum(logits, 1e-37))
+        logits -= logits.max(axis=1, keepdims=True)
+        picked = logits[rows, at].astype(np.float64)
+        np.exp(logits, out=logits)
+        sums = logits.sum(axis=1)
+    if full:
+        logits /= sums[:, None]
+    return picked - np.log(sums), logits if full else None
 
 
 def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probabilities of ``targets`` and, with ``grads``, the loss's gradient for the states."""
     inside = targets < VOCABULARY
     kind = np.where(inside, targets // SIZE, targets - VOCABULARY + CLASSES)
-    rows = np.arange(len(targets))
-    logs = softmax_log(states @ p["c"] + p["cb"])
-    found = logs[rows, kind].astype(np.float64)
+    found, wrong = chosen(states @ p["c"] + p["cb"], kind, grads is not None)
     back = None
     if grads is not None:
-        wrong = np.exp(logs)
-        wrong[rows, kind] -= 1
+        wrong[np.arange(len(targets)), kind] -= 1
         grads["c"] += states.T @ wrong
         grads["cb"] += wrong.sum(axis=0)
         back = wrong @ p["c"].T
-    order = np.argsort(np.where(inside, kind, CLASSES), kind="stable")
+    order = np.argsort(np.where(inside, kind, CLASSES).astype(np.uint8), kind="stable")
     ends = np.searchsorted(kind[order][: int(inside.sum())], np.arange(CLASSES + 1))
     for k in range(CLASSES):
         at = order[ends[k] : ends[k + 1]]
         if len(at):
-            mine = states[at]
-            logs = softmax_log(mine @ p["o"][k] + p["ob"][k])
-            word = targets[at] % SIZE
-            found[at] += logs[np.arange(len(at)), word]
+            mine, word = states[at], targets[at] % SIZE
+            more, wrong = chosen(mine @ p["o"][k] + p["ob"][k], word, grads is not None)
+            found[at] += more
             if grads is not None:
-                wrong = np.exp(logs)
                 wrong[np.arange(len(at)), word] -= 1
                 grads["o"][k] += mine.T @ wrong
                 grads["ob"][k] += wrong.sum(axis=0)
@@ -126,8 +140,8 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     return found, back
 
 
-def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One window [steps, lanes]: log probabilities (0 where padded) and the state after it.
+def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: dict | None = None, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """One window [steps, lanes]: log probabilities (0 where padded; None unless scored) and the state after it.
 
     ids: tokens, -1 for padding; before: the lanes' tokens before the window; fresh: where a document starts.
     """
@@ -146,6 +160,8 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
         states[t] = state
         if grads is not None:
             kept.append((old, r, z, new, u[:, 2 * n :]))
+    if not scored:
+        return None, state
     real = ids >= 0
     logs = np.zeros(ids.shape)
     logs[real], back = outputs(p, states[real], ids[real], grads)
@@ -197,7 +213,7 @@ class Trainer:
 
 
 def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = None, stride: int = 1) -> np.ndarray:
-    """Each document's log10 probability by ``p``; with a trainer, also a step in every ``stride``-th window.
+    """Each document's log10 probability by ``p``; with a trainer, steps in every ``stride``-th window, the others only carry the state.
 
     Documents are dealt to lanes, longest first to the shortest lane; lanes are ordered so that those still busy come first.
     """
@@ -225,11 +241,12 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
             whose[: len(part), j] = owners[j][k : k + steps]
         fresh = whose != np.concatenate([last_owner[None, :busy], whose[:-1]])
         grads = trainer.grads() if trainer and turn % stride == 0 else None
-        logs, state = window(p, ids, last[:busy], fresh, state[:busy], grads)
+        logs, state = window(p, ids, last[:busy], fresh, state[:busy], grads, not trainer or grads is not None)
         if grads is not None:
             trainer.step(grads, int((ids >= 0).sum()))
-        real = ids >= 0
-        total += np.bincount(whose[real], logs[real], len(docs))
+        if logs is not None:
+            real = ids >= 0
+            total += np.bincount(whose[real], logs[real], len(docs))
         last, last_owner = np.maximum(ids[-1], 0), whose[-1]
     return total / np.log(10)
 
@@ -260,7 +277,17 @@ def counted(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     """The vocabulary with its broadcast counts, N and V; only bounded tops of the counts reach the driver."""
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    # the words above the count that KNOWN words reach at most: counts by octave eighths tell it, so no task sends more
+    eighth = F.floor(F.log2("c") * 8).cast("int")
+    least, above = None, 0
+    for r in sorted(counts.groupBy(eighth.alias("e")).count().collect(), reverse=True):
+        if above + r["count"] > KNOWN:
+            break
+        least, above = r["e"], above + r["count"]
+    if above >= min(VOCABULARY, total[1] or 0):
+        top = sorted(counts.where(eighth >= least).collect() if above else [], key=lambda r: (-r["c"], r["word"]))
+    else:  # too many words of nearly one count
+        top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
     head = [r["word"] for r in top[:VOCABULARY]]
     spark = counts.sparkSession
     rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in head], "word string")), "word", "left_anti") if head else counts
@@ -271,19 +298,18 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     return Vocabulary([r["word"] for r in top], [r["c"] for r in top], [r["prefix"] for r in prefixes], [others, *((r["n"], r["v"]) for r in prefixes)]), total[0] or 0, total[1] or 0
 
 
-def gathered(batches, column: int, encode):
-    """Lists of about GATHER tokens' worth of (row index in the partition, encoded document), with the rows' batches."""
-    rows, docs, size = [], [], 0
+def gathered(batches, encode):
+    """Rows of about GATHER tokens at a time, as ``encode`` makes them from a batch's columns; texts aren't kept."""
+    docs, size = [], 0
     for b in batches:
-        for i, text in enumerate(b.column(column).to_pylist()):
-            docs.append(encode(text))
-            rows.append((b, i))
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            docs.append(encode(*row))
             size += len(docs[-1])
             if size >= GATHER:
-                yield rows, docs
-                rows, docs, size = [], [], 0
+                yield docs
+                docs, size = [], 0
     if docs:
-        yield rows, docs
+        yield docs
 
 
 def packed(p: dict) -> bytes:
@@ -323,9 +349,9 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
 
         def encode(text):
             cache.trim()
-            return np.fromiter(map(cache.__getitem__, [*words_of(text), END]), np.int64)
+            return np.fromiter(map(cache.__getitem__, [*words_of(text), END]), np.int32)
 
-        for _, part in gathered(batches, 0, encode):
+        for part in gathered(batches, encode):
             run(local, part, LANES, trainer, STRIDE)
             seen += sum(map(len, part))
         if seen:
@@ -380,34 +406,41 @@ def scores(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
         slots = Cache(lambda w: known[w] if w in known else VOCABULARY - 1 - mine.id(w), CACHED)
 
         class Encoded:
-            def __init__(self, text):
+            def __init__(self, doc_id, held_out, text):
+                self.doc_id, self.held_out = doc_id, held_out
                 words = [*words_of(text), END]
                 slots.trim()
                 at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
                 there = at >= 0
-                self.ids = np.where(there, slot_ids[np.maximum(at, 0)], VOCABULARY - 1 - at)
+                ids = np.where(there, slot_ids[np.maximum(at, 0)], VOCABULARY - 1 - at)
                 own = np.where(there, logs[np.maximum(at, 0)], 0.0)
-                outside = self.ids >= VOCABULARY
-                self.known, self.base = int(there.sum()), float(own.sum())
-                self.inner = float(own[outside].sum() - mine.norms[self.ids[outside] - VOCABULARY].sum())
-                self.rare = Counter(words[k] for k in np.flatnonzero(~there).tolist())
+                outside = ids >= VOCABULARY
+                self.ids, self.known, self.base = ids.astype(np.int32), int(there.sum()), float(own.sum())
+                self.inner = float(own[outside].sum() - mine.norms[ids[outside] - VOCABULARY].sum())
+                rare = Counter(words[k] for k in np.flatnonzero(~there).tolist())
+                self.rare, self.times = "\n".join(rare), np.fromiter(rare.values(), np.int32, len(rare))
 
             def __len__(self):
                 return len(self.ids)
 
-        for of, part in gathered(batches, 2, Encoded):
+            def rest(self):
+                return [{"word": w, "n": n} for w, n in zip(self.rare.split("\n"), self.times.tolist())] if len(self.times) else []
+
+        for part in gathered(batches, Encoded):
             totals = run(weights, [d.ids for d in part], WIDE)
-            yield batch(
-                schema,
-                uid=range(uid, uid + len(part)),
-                doc_id=[b.column(0)[i].as_py() for b, i in of],
-                held_out=[b.column(1)[i].as_py() for b, i in of],
-                n_tokens=list(map(len, part)),
-                n_known=[d.known for d in part],
-                base=[d.base for d in part],
-                score=[float(t) + d.inner for t, d in zip(totals, part)],
-                rare=[[{"word": w, "n": n} for w, n in d.rare.items()] for d in part],
-            )
+            for k in range(0, len(part), 512):
+                some = part[k : k + 512]
+                yield batch(
+                    schema,
+                    uid=range(uid + k, uid + k + len(some)),
+                    doc_id=[d.doc_id for d in some],
+                    held_out=[d.held_out for d in some],
+                    n_tokens=list(map(len, some)),
+                    n_known=[d.known for d in some],
+                    base=[d.base for d in some],
+                    score=[float(t) + d.inner for t, d in zip(totals[k:], some)],
+                    rare=[d.rest() for d in some],
+                )
             uid += len(part)
 
     found = materialize(map_batches(rows, score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:long>>"))
