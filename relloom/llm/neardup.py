@@ -9,7 +9,9 @@
 4. Survivors are verified exactly on full sets; first those that could join most (each class's smallest partner), then what
    still joins different components. Components are contracted by smallest neighbour and pointer jumping.
 5. Buckets that still hold several components are finished in bounded blocks: every member outside the bucket's main
-   component is compared with every other member, so no link is lost to the neighbour rule.
+   component is compared with every other member, so no link is lost to the neighbour rule. Comparisons stay inside the
+   block; what leaves it is the members that have a plausible partner, and then the verified links, one for each member and
+   component.
 
 The chance that banding misses a pair at similarity 0.85 is (1 - 0.85**6)**24, about 1e-5. Nothing is capped: a bucket of any
 size is sorted, not gathered. Documents without words have an empty set, size 0, and are linked with nothing; a null id
@@ -33,7 +35,7 @@ WORDS, PERCENT = 5, 85
 #: Rows of a band, bands, hashes compared at a time, chance of dropping a pair that reaches the threshold.
 ROWS, BANDS, STEP, MISS = 6, 24, 16, 1e-5
 #: Members of a block when a bucket is finished; ids that may be broadcast (16 bytes each).
-BLOCK, FEW = 512, 500_000
+BLOCK, FEW = 256, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240607)
 FACTORS = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,16 +137,16 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """key, next, rep: a row for each class and band."""
-    schema = pa.schema([("key", pa.int64()), ("next", pa.int64()), ("rep", pa.int64())])
+    """key, next, band, rep: a row for each class and band."""
+    schema = pa.schema([("key", pa.int64()), ("next", pa.int64()), ("band", pa.int32()), ("rep", pa.int64())])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 keys = band_keys(unpacked(b.column(1).to_pylist()))
-                yield batch(schema, key=keys.ravel(), next=np.roll(keys, -1, axis=1).ravel(), rep=np.repeat(b.column(0).to_numpy(), BANDS))
+                yield batch(schema, key=keys.ravel(), next=np.roll(keys, -1, axis=1).ravel(), band=np.tile(np.arange(BANDS, dtype=np.int32), len(keys)), rep=np.repeat(b.column(0).to_numpy(), BANDS))
 
-    return map_batches(classes.select("rep", "sig"), run, "key long, next long, rep long")
+    return map_batches(classes.select("rep", "sig"), run, "key long, next long, band int, rep long")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -275,34 +277,61 @@ def joined_up(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, rounds
 
 
 def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Plausible pairs between components that still share a bucket, found in blocks of bounded size."""
+    """Blocks (key, i, j) of members with a plausible partner in another component of a bucket they share.
+
+    Columns: key, i, j, rep, comp, probe. A pair that shares several buckets is looked at in the first of them only.
+    """
     least = least_matches()
     if roots is None:
-        rows = rows.selectExpr("key", "rep", "rep comp")
+        rows = rows.selectExpr("key", "band", "rep", "rep comp")
     else:
-        rows = rows.join(roots.selectExpr("node rep", "root"), "rep", "left").selectExpr("key", "rep", "coalesce(root, rep) comp")
+        rows = rows.join(roots.selectExpr("node rep", "root"), "rep", "left").selectExpr("key", "band", "rep", "coalesce(root, rep) comp")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     # two members were neighbours and have been compared
     sizes = sizes.where("comps > 1 and n > 2").selectExpr("key", "main", f"cast(ceil(n / {BLOCK}) as int) targets", f"cast(ceil((n - most) / {BLOCK}) as int) probes")
     rows = materialize(rows.join(sizes, "key"))
-    at = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
+    at = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    targets = rows.select("key", "rep", "comp", at("targets").cast("int").alias("i"), every("probes").alias("j"), F.lit(False).alias("probe"))
-    probes = rows.where("comp <> main").select("key", "rep", "comp", every("targets").alias("i"), at("probes").cast("int").alias("j"), F.lit(True).alias("probe"))
-    blocks = targets.union(probes).join(classes.select("rep", "sig"), "rep")
+    targets = rows.select("key", "band", "rep", "comp", at("targets").alias("i"), every("probes").alias("j"), F.lit(False).alias("probe"))
+    probes = rows.where("comp <> main").select("key", "band", "rep", "comp", every("targets").alias("i"), at("probes").alias("j"), F.lit(True).alias("probe"))
+    blocks = targets.union(probes).join(classes.select("rep", "sig"), "rep").select("key", "band", "i", "j", "rep", "comp", "probe", "sig")
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        one, two = block[block.probe], block[~block.probe]
-        out = [np.zeros((0, 2), np.int64)]
+        one, two = block[block.probe.to_numpy()], block[~block.probe.to_numpy()]
+        used_one, used_two = np.zeros(len(one), bool), np.zeros(len(two), bool)
         if len(one) and len(two):
-            right, reps, comps = unpacked(two.sig), two.rep.to_numpy(), two.comp.to_numpy()
-            for rep, comp, sig in zip(one.rep, one.comp, unpacked(one.sig)):
+            right, comps, band = unpacked(two.sig), two.comp.to_numpy(), int(block.band.iloc[0])
+            for k, (comp, sig) in enumerate(zip(one.comp, unpacked(one.sig))):
                 other = np.flatnonzero(comps != comp)
+                earlier = (right[other, : band * ROWS] == sig[: band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                other = other[~earlier]
                 other = other[plausible(right[other], np.broadcast_to(sig, (len(other), len(sig))), least)]
-                out.append(np.stack([np.minimum(reps[other], rep), np.maximum(reps[other], rep)], axis=1))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+                used_one[k], used_two[other] = len(other) > 0, True
+        return pd.concat([one[used_one], two[used_two]])[["key", "i", "j", "rep", "comp", "probe"]]
+
+    return blocks.groupBy("key", "i", "j").applyInPandas(compare, "key long, i int, j int, rep long, comp long, probe boolean")
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: verified links inside blocks of ``unfinished``, one for each probe and other component."""
+
+    def verify(block: pd.DataFrame) -> pd.DataFrame:
+        one, two = block[block.probe.to_numpy()], block[~block.probe.to_numpy()]
+        out = []
+        if len(one) and len(two):
+            reps, comps = two.rep.to_numpy(), two.comp.to_numpy()
+            sizes = np.array([len(x) // 8 for x in two.hashes])
+            owner, hashes = np.repeat(np.arange(len(two)), sizes), np.frombuffer(b"".join(two.hashes), np.uint64)
+            for rep, comp, mine in zip(one.rep, one.comp, one.hashes):
+                mine = np.frombuffer(mine, np.uint64)
+                shared = np.bincount(owner[np.isin(hashes, mine, assume_unique=False)], minlength=len(two))
+                close = np.flatnonzero((comps != comp) & (shared > 0) & (100 * shared >= percent * (sizes + len(mine) - shared)))
+                for k in close[np.unique(comps[close], return_index=True)[1]]:
+                    out.append((min(rep, reps[k]), max(rep, reps[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return blocks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    rows = blocks.join(sets, "rep").select("key", "i", "j", "rep", "comp", "probe", "hashes")
+    return rows.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -318,8 +347,8 @@ def components(docs: DataFrame) -> DataFrame:
         roots = joined_up(pairs, sets, roots, rounds=2)
     late = materialize(unfinished(rows, classes, roots))
     if not late.isEmpty():
-        sets = materialize(full_sets(docs, late.selectExpr("a rep").union(late.selectExpr("b rep"))))
-        roots = joined_up(late, sets, roots, rounds=0)
+        links = materialize(block_links(late, full_sets(docs, late.select("rep"))))
+        roots = contracted(relabelled(links, roots), roots)
     out = found.select("doc_id", "n_shingles", "sets").join(classes.select("sets", "rep"), "sets", "left")
     if roots is not None:
         out = out.join(roots.selectExpr("node rep", "root"), "rep", "left")
