@@ -111,36 +111,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
 
 
 class WordRows(dict):
-    """Words to rows of a float32 matrix that ``make`` fills on first sight; at ``cap`` words it starts anew."""
+    """Words to rows of a float32 matrix that ``make`` fills for many new words at a time; at ``cap`` words it starts anew."""
 
     #: Words that are looked up at a time, so that a very long text can't outgrow the matrix.
-    STEP = 1 << 16
+    STEP = 1 << 17
 
     def __init__(self, make, width: int, cap: int = 250_000):
         super().__init__()
         self.make, self.cap = make, cap
         self.matrix = np.zeros((1 << 12, width), np.float32)
 
-    def __missing__(self, word):
-        row = len(self)
-        if row == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[row] = self.make(word)
-        self[word] = row
-        return row
-
-    def parts(self, words: list):
-        """The rows of each step of ``words``."""
-        for k in range(0, len(words), self.STEP):
-            if len(self) > self.cap:
+    def at(self, words: list) -> np.ndarray:
+        """Row numbers of at most STEP words."""
+        fresh = set(words).difference(self)
+        if fresh:
+            if len(self) + len(fresh) > self.cap:
                 self.clear()
-            part = words[k : k + self.STEP]
-            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            yield at, self.matrix[at]
-
-    def total(self, words: list) -> np.ndarray:
-        """The sum of the words' rows."""
-        return sum((rows.sum(axis=0, dtype=np.float64) for _, rows in self.parts(words)), np.zeros(self.matrix.shape[1]))
+                fresh = set(words)
+            fresh, first = list(fresh), len(self)
+            while first + len(fresh) > len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[first : first + len(fresh)] = self.make(fresh)
+            self.update(zip(fresh, range(first, first + len(fresh))))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def logistic(x):

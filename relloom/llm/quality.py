@@ -29,17 +29,23 @@ FIT_DOCS, FIT_CHARS = 3_000, 60_000
 BUCKETS, DIM, GRAMS, EPOCHS, RATE, REPEAT = 1 << 17, 8, (2, 3, 4), 4, 0.6, 4.0
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of a word and its character n-grams."""
-    marked = f"<{word}>".encode()
-    found = [zlib.crc32(marked, 1)]
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all the words' features and the word (its number) that each belongs to."""
+    marked = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # bytes to the word's end
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)
+    ids, owners = [np.fromiter(map(zlib.crc32, marked), np.int64, len(marked)) % BUCKETS], [np.arange(len(marked))]
     for n in GRAMS:
-        found += [zlib.crc32(marked[k : k + n]) for k in range(len(marked) - n + 1)]
-    return np.array(found, np.int64) % BUCKETS
-
-
-def repeats(words: list[str]) -> int:
-    return sum(map(str.__eq__, words, words[1:]))
+        at = np.flatnonzero(left >= n)
+        key = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            key = key * np.uint64(257) + data[at + j]
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        ids.append((key % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[at])
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 @dataclass
@@ -52,25 +58,19 @@ class Model:
         return (self.vectors @ self.output).astype(np.float32)
 
 
-def bag(text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A document's distinct features and their shares of it."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    ids, counts = [], []
-    for word, n in Counter(words).items():
-        got = cache.get(word)
-        if got is None:
-            got = cache[word] = features(word)
-        ids.append(got)
-        counts.append(np.full(len(got), n, np.float32))
-    if again := repeats(words):
-        ids.append(np.array([BUCKETS]))
-        counts.append(np.array([REPEAT * again], np.float32))
-    ids, counts = np.concatenate(ids), np.concatenate(counts)
+    counts = Counter(words)
+    ids, owners = features(list(counts))
+    weights = np.fromiter(counts.values(), np.float64, len(counts))[owners]
+    again = sum(map(str.__eq__, words, words[1:]))
+    ids, weights = np.append(ids, BUCKETS), np.append(weights, REPEAT * again)
     distinct, back = np.unique(ids, return_inverse=True)
-    weights = np.bincount(back, counts).astype(np.float32)
-    return distinct, weights / weights.sum()
+    weights = np.bincount(back, weights)
+    return distinct, (weights / weights.sum()).astype(np.float32)
 
 
 def fit(sample: list[tuple[int, str, int]], shares: tuple[int, int], seed: int = 7) -> Model:
@@ -82,8 +82,7 @@ def fit(sample: list[tuple[int, str, int]], shares: tuple[int, int], seed: int =
     labels = np.array([y for _, _, y in sample])
     if len(set(labels.tolist())) < 2:
         return Model(vectors, output, prior)
-    cache: dict = {}
-    bags = [bag(text, cache) for _, text, _ in sample]
+    bags = [bag(text) for _, text, _ in sample]
     step, steps = 0, EPOCHS * len(bags)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(bags)):
@@ -107,19 +106,46 @@ def fit(sample: list[tuple[int, str, int]], shares: tuple[int, int], seed: int =
 class Scorer:
     def __init__(self, folded: np.ndarray, bias: np.ndarray):
         self.folded, self.bias = folded, bias
-        self.rows = WordRows(self.row, 3)
-
-    def row(self, word: str) -> np.ndarray:
-        ids = features(word)
-        return np.append(self.folded[ids].sum(axis=0), len(ids))
-
-    def score(self, text: str | None) -> float:
-        words = text.split() if text else []
-        total = self.rows.total(words)
-        if again := repeats(words):
-            total += np.append(REPEAT * again * self.folded[BUCKETS], REPEAT * again)
-        logits = self.bias + (total[:2] / total[2] if total[2] else 0)
-        return float(logistic(logits[1] - logits[0]))
+        self.rows = WordRows(self.sums, 3)
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        """For each word, the sum of its features' two numbers, and how many they are."""
+        ids, owners = features(words)
+        n = len(words)
+        return np.stack([np.bincount(owners, self.folded[ids, 0], n), np.bincount(owners, self.folded[ids, 1], n), np.bincount(owners, minlength=n)], axis=1)
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of a batch; its words are looked up STEP at a time, whatever the lengths of the texts."""
+        cut = [t.split() if t else [] for t in texts]
+        totals, again = np.zeros((len(cut), 3)), np.zeros(len(cut))
+        words, owners, last = [], [], [None] * len(cut)
+
+        def settle():
+            at, of = self.rows.at(words), np.repeat([d for d, _ in owners], [n for _, n in owners])
+            for c in range(3):
+                totals[:, c] += np.bincount(of, self.rows.matrix[at, c], len(cut))
+            same = (at[1:] == at[:-1]) & (of[1:] == of[:-1])
+            again[:] += np.bincount(of[1:][same], minlength=len(cut))
+            words.clear()
+            owners.clear()
+
+        for d, mine in enumerate(cut):
+            k = 0
+            while k < len(mine):
+                part = mine[k : k + self.rows.STEP - len(words)]
+                if k:  # the rest of a text that was cut
+                    again[d] += part[0] == last[d]
+                words += part
+                owners.append((d, len(part)))
+                last[d] = part[-1]
+                k += len(part)
+                if len(words) >= self.rows.STEP:
+                    settle()
+        if words:
+            settle()
+        totals += again[:, None] * np.append(REPEAT * self.folded[BUCKETS], REPEAT)
+        logits = self.bias + totals[:, :2] / np.maximum(totals[:, 2:], 1e-9)
+        return logistic(logits[:, 1] - logits[:, 0]).tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, label: str = "quality") -> Model:
@@ -136,7 +162,7 @@ def scores(docs: DataFrame, model: Model, mod: int = 5, rest: int = 0, least: fl
     def run(batches):
         scorer = Scorer(*shared.value)
         for b in batches:
-            found = [scorer.score(t) for t in b.column(2).to_pylist()]
+            found = scorer.scores(b.column(2).to_pylist())
             yield batch(schema, doc_id=b.column(0), held_out=b.column(1), score=found, predicted=[int(x >= least) for x in found])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held("doc_id", mod, rest).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -151,6 +177,6 @@ def keep(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text")
     def run(batches):
         scorer = Scorer(*shared.value)
         for b in batches:
-            yield b.filter(pa.array([scorer.score(t) >= least for t in b.column(column).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([x >= least for x in scorer.scores(b.column(column).to_pylist())], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
