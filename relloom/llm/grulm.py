@@ -7,9 +7,9 @@ in a class by its first two characters, where its probability is (count + 1) / (
 being for all unknown tokens. So the probabilities of all tokens sum to 1 for any state.
 
 Training: the network starts as the unigram model, is warmed up on the driver with a bounded, hash-chosen sample, and is then
-trained by every partition on all its training documents (truncated backpropagation; a gradient in every STRIDE-th window,
-the state carried through all of them). The partitions' weights are averaged by tokens in a tree. Scoring carries the state
-through each whole document, window after window, many documents side by side.
+trained by every partition on all its training documents (truncated backpropagation; a gradient in every window, the state
+carried from one to the next). The partitions' weights are averaged by tokens in a tree. Scoring carries the state through
+each whole document, window after window, many documents side by side.
 
 Null and empty texts are one end token. Without training documents no token is known and every score is 0. Repeated rows
 score alike; only id and text are read.
@@ -33,8 +33,8 @@ from .common import Cache, batch, held, map_batches, materialize
 #: Vocabulary classes and their size; classes of the other tokens; state; window; lanes side by side when training and scoring.
 CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 16, 32, 256, 512
 VOCABULARY = CLASSES * SIZE
-#: Tokens whose counts are broadcast; documents and characters of the driver's sample; epochs over it; windows for a gradient.
-KNOWN, FIT_DOCS, FIT_CHARS, WARM, STRIDE = 200_000, 400, 20_000, 3, 8
+#: Tokens whose counts are broadcast; documents and characters of the driver's sample; epochs over it.
+KNOWN, FIT_DOCS, FIT_CHARS, WARM = 200_000, 400, 20_000, 3
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
 GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 32
 END = ""
@@ -140,8 +140,8 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     return found, back
 
 
-def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: dict | None = None, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
-    """One window [steps, lanes]: log probabilities (0 where padded; None unless scored) and the state after it.
+def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, state: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One window [steps, lanes]: log probabilities (0 where padded) and the state after it.
 
     ids: tokens, -1 for padding; before: the lanes' tokens before the window; fresh: where a document starts.
     """
@@ -160,8 +160,6 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
         states[t] = state
         if grads is not None:
             kept.append((old, r, z, new, u[:, 2 * n :]))
-    if not scored:
-        return None, state
     real = ids >= 0
     logs = np.zeros(ids.shape)
     logs[real], back = outputs(p, states[real], ids[real], grads)
@@ -212,8 +210,8 @@ class Trainer:
             self.p[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-5)
 
 
-def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = None, stride: int = 1) -> np.ndarray:
-    """Each document's log10 probability by ``p``; with a trainer, steps in every ``stride``-th window, the others only carry the state.
+def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = None) -> np.ndarray:
+    """Each document's log10 probability by ``p``; with a trainer, also a step in every window.
 
     Documents are dealt to lanes, longest first to the shortest lane; lanes are ordered so that those still busy come first.
     """
@@ -231,7 +229,7 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
     sizes = np.array([len(x) for x in tokens])
     total = np.zeros(len(docs))
     state, last, last_owner = np.zeros((len(tokens), STATE), np.float32), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1)
-    for turn, k in enumerate(range(0, int(sizes.max(initial=0)), WINDOW)):
+    for k in range(0, int(sizes.max(initial=0)), WINDOW):
         busy = int((sizes > k).sum())
         steps = min(WINDOW, int(sizes[0]) - k)
         ids, whose = np.full((steps, busy), -1, np.int64), np.full((steps, busy), -1, np.int64)
@@ -240,13 +238,12 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
             ids[: len(part), j] = part
             whose[: len(part), j] = owners[j][k : k + steps]
         fresh = whose != np.concatenate([last_owner[None, :busy], whose[:-1]])
-        grads = trainer.grads() if trainer and turn % stride == 0 else None
-        logs, state = window(p, ids, last[:busy], fresh, state[:busy], grads, not trainer or grads is not None)
+        grads = trainer.grads() if trainer else None
+        logs, state = window(p, ids, last[:busy], fresh, state[:busy], grads)
         if grads is not None:
             trainer.step(grads, int((ids >= 0).sum()))
-        if logs is not None:
-            real = ids >= 0
-            total += np.bincount(whose[real], logs[real], len(docs))
+        real = ids >= 0
+        total += np.bincount(whose[real], logs[real], len(docs))
         last, last_owner = np.maximum(ids[-1], 0), whose[-1]
     return total / np.log(10)
 
@@ -352,7 +349,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
             return np.fromiter(map(cache.__getitem__, [*words_of(text), END]), np.int32)
 
         for part in gathered(batches, encode):
-            run(local, part, LANES, trainer, STRIDE)
+            run(local, part, LANES, trainer)
             seen += sum(map(len, part))
         if seen:
             yield batch(schema, weight=[float(seen)], model=[packed(local)])

@@ -5,6 +5,7 @@ import random
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from relloom.llm import grulm
@@ -78,6 +79,41 @@ def corpus(n=120):
     return [(i, " ".join(rng.choice(vocabularies[i % 3]) for _ in range(rng.randint(5, 60)))) for i in range(n)]
 
 
+@pytest.fixture
+def passes(spark, docs, monkeypatch):
+    """The steps' tokens of each trainer when ``fit`` runs on the driver over rows in one partition, and its weights."""
+    made = []
+
+    class Noted(grulm.Trainer):
+        def __init__(self, p, rate):
+            super().__init__(p, rate)
+            self.tokens = []
+            made.append(self.tokens)
+
+        def step(self, grads, tokens):
+            self.tokens.append(tokens)
+            super().step(grads, tokens)
+
+    def here(df, fn, schema):
+        found = list(fn(df.toArrow().to_batches()))
+        return spark.createDataFrame(pa.Table.from_batches(found)) if found else spark.createDataFrame([], schema)
+
+    def fit(rows):
+        vocab, _, _ = grulm.vocabulary(grulm.counted(docs(rows)))
+        with monkeypatch.context() as m:
+            m.setattr(grulm, "Trainer", Noted)
+            m.setattr(grulm, "map_batches", here)
+            return made, vocab, grulm.fit(docs(rows), vocab, len(rows))
+
+    return fit
+
+
+def test_every_training_token_has_a_gradient(passes):
+    rows = [(k, f"a{k} b " * 300) for k in range(20)]
+    made, _, _ = passes(rows)
+    assert sum(made[-1]) == 20 * 601
+
+
 def test_scores_by_hand(spark, docs, odd, monkeypatch):
     monkeypatch.setattr(grulm, "KNOWN", 50)  # so that the join of rare tokens is used as well
     rows = corpus() + [(1000 + k, t) for k, (_, t) in enumerate(odd)]
