@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Cache, batch, held, map_batches, materialize
 
 #: Vocabulary classes and their size; classes of the other tokens; state; window; lanes side by side when training and scoring.
-CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 16, 32, 256, 512
+CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 512
 VOCABULARY = CLASSES * SIZE
 #: Tokens whose counts are broadcast; documents and characters of the driver's sample; epochs over it.
 KNOWN, FIT_DOCS, FIT_CHARS, WARM = 200_000, 400, 20_000, 3

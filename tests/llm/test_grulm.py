@@ -114,6 +114,12 @@ def test_every_training_token_has_a_gradient(passes):
     assert sum(made[-1]) == 20 * 601
 
 
+def test_size_of_the_model_and_of_its_steps(passes):
+    """A smaller network, or fewer steps over the same tokens, is a lesser model, not a cheaper one."""
+    made, _, p = passes([(k, f"a{k} b " * 16) for k in range(300)])
+    assert p["u"].shape == (24, 72) and max(made[-1]) <= 128 * 32
+
+
 def test_scores_by_hand(spark, docs, odd, monkeypatch):
     monkeypatch.setattr(grulm, "KNOWN", 50)  # so that the join of rare tokens is used as well
     rows = corpus() + [(1000 + k, t) for k, (_, t) in enumerate(odd)]
