@@ -25,8 +25,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return neardup.keep(docs)
+    """One document of each near-duplicate component stays; word 5-grams that are 80 percent the same link two documents."""
+    return neardup.keep(docs, 80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

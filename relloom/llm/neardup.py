@@ -13,7 +13,8 @@
    block; what leaves it is the members that have a plausible partner, and then the verified links, one for each member and
    component.
 
-The chance that banding misses a pair at similarity 0.85 is (1 - 0.85**6)**24, about 1e-5. Nothing is capped: a bucket of any
+The threshold is an argument, 85 percent by default; bands and posterior bounds follow from it. The chance that banding
+misses a pair at the threshold is at most BAND_MISS: (1 - 0.85**6)**24 at 0.85, (1 - 0.80**5)**28 at 0.80. Nothing is capped: a bucket of any
 size is sorted, not gathered. Documents without words have an empty set, size 0, and are linked with nothing; a null id
 belongs to no component and isn't kept; rows that share an id share its component; other columns are not read.
 """
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import Cache, batch, map_batches, materialize
 
 WORDS, PERCENT = 5, 85
-#: Rows of a band, bands, hashes compared at a time, chance of dropping a pair that reaches the threshold.
-ROWS, BANDS, STEP, MISS = 6, 24, 16, 1e-5
-#: Members of a block when a bucket is finished; ids that may be broadcast (16 bytes each).
-BLOCK, FEW = 256, 500_000
+#: Hashes of a signature, hashes compared at a time, chance of dropping a pair that reaches the threshold, by posterior and by bands.
+HASHES, STEP, MISS, BAND_MISS = 144, 16, 1e-5, 2e-5
+#: Members of a block when a bucket is finished; hashes that are looked up at a time in it; ids that may be broadcast (16 bytes each).
+BLOCK, LOOKED_UP, FEW = 256, 1 << 16, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240607)
-FACTORS = _SEED.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _SEED.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACES = _SEED.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,11 +80,20 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mixed(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """[rows, BANDS] keys; a key tells its band as well."""
-    cut = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """Rows of a band and bands: the longest bands that miss a pair at the threshold with a chance of at most BAND_MISS."""
+    for rows in range(HASHES, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (HASHES // rows) <= BAND_MISS:
+            return rows, HASHES // rows
+    return 1, HASHES
+
+
+def band_keys(signatures: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """[rows, bands] keys; a key tells its band as well."""
+    size, bands = banding(percent)
+    cut = signatures[:, : bands * size].reshape(len(signatures), bands, size).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return mixed((cut * PLACES[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX).view(np.int64)
+        return mixed((cut * PLACES[:size]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _MIX).view(np.int64)
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
@@ -91,7 +101,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[int]:
     grid = (np.arange(20_000) + 0.5) / 20_000
     upper = grid >= percent / 100
     out = [0]
-    for n in range(1, ROWS * BANDS + 1):
+    for n in range(1, HASHES + 1):
         for m in range(out[-1], n + 1):
             logs = m * np.log(grid) + (n - m) * np.log1p(-grid)
             mass = np.exp(logs - logs.max())
@@ -113,7 +123,7 @@ def plausible(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarr
 
 
 def unpacked(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, ROWS * BANDS)
+    return np.frombuffer(b"".join(column), "<u2").reshape(-1, HASHES)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -136,15 +146,16 @@ def features(docs: DataFrame) -> DataFrame:
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, n_shingles long, sets binary, sig binary")
 
 
-def banded(classes: DataFrame) -> DataFrame:
+def banded(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, next, band, rep: a row for each class and band."""
     schema = pa.schema([("key", pa.int64()), ("next", pa.int64()), ("band", pa.int32()), ("rep", pa.int64())])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                keys = band_keys(unpacked(b.column(1).to_pylist()))
-                yield batch(schema, key=keys.ravel(), next=np.roll(keys, -1, axis=1).ravel(), band=np.tile(np.arange(BANDS, dtype=np.int32), len(keys)), rep=np.repeat(b.column(0).to_numpy(), BANDS))
+                keys = band_keys(unpacked(b.column(1).to_pylist()), percent)
+                bands = keys.shape[1]
+                yield batch(schema, key=keys.ravel(), next=np.roll(keys, -1, axis=1).ravel(), band=np.tile(np.arange(bands, dtype=np.int32), len(keys)), rep=np.repeat(b.column(0).to_numpy(), bands))
 
     return map_batches(classes.select("rep", "sig"), run, "key long, next long, band int, rep long")
 
@@ -182,9 +193,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return pairs.where("a < b").distinct()
 
 
-def judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def judged(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that sequential Bayesian comparison of signatures doesn't drop."""
-    least = least_matches()
+    least = least_matches(percent)
     sig = classes.select("rep", "sig")
     both = pairs.join(sig.selectExpr("rep a", "sig sig_a"), "a").join(sig.selectExpr("rep b", "sig sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -261,27 +272,27 @@ def contracted(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame |
     return roots
 
 
-def joined_up(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, rounds: int) -> DataFrame | None:
-    """Components after all ``pairs``: in each round one pair for each component is verified, in the end what is left."""
+def joined_up(pairs: DataFrame, verify, roots: DataFrame | None, rounds: int) -> DataFrame | None:
+    """Components after all ``pairs``: in each round ``verify`` sees one pair for each component, in the end what is left."""
     for k in range(rounds + 1):
         open_pairs = materialize(relabelled(pairs, roots))
         if open_pairs.isEmpty():
             break
         if k < rounds:
             tried = open_pairs.groupBy("cb").agg(F.min(F.struct("ca", "a", "b")).alias("x")).selectExpr("x.a a", "x.b b", "x.ca ca", "cb")
-            roots = contracted(verified(tried, sets), roots)
+            roots = contracted(verify(tried), roots)
             pairs = open_pairs.select("a", "b")
         else:
-            roots = contracted(verified(open_pairs, sets), roots)
+            roots = contracted(verify(open_pairs), roots)
     return roots
 
 
-def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int = PERCENT) -> DataFrame:
     """Blocks (key, i, j) of members with a plausible partner in another component of a bucket they share.
 
     Columns: key, i, j, rep, comp, probe. A pair that shares several buckets is looked at in the first of them only.
     """
-    least = least_matches()
+    least, (size, _) = least_matches(percent), banding(percent)
     if roots is None:
         rows = rows.selectExpr("key", "band", "rep", "rep comp")
     else:
@@ -303,7 +314,7 @@ def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None) ->
             right, comps, band = unpacked(two.sig), two.comp.to_numpy(), int(block.band.iloc[0])
             for k, (comp, sig) in enumerate(zip(one.comp, unpacked(one.sig))):
                 other = np.flatnonzero(comps != comp)
-                earlier = (right[other, : band * ROWS] == sig[: band * ROWS]).reshape(len(other), band, ROWS).all(axis=2).any(axis=1)
+                earlier = (right[other, : band * size] == sig[: band * size]).reshape(len(other), band, size).all(axis=2).any(axis=1)
                 other = other[~earlier]
                 other = other[plausible(right[other], np.broadcast_to(sig, (len(other), len(sig))), least)]
                 used_one[k], used_two[other] = len(other) > 0, True
@@ -320,34 +331,40 @@ def block_links(blocks: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
         out = []
         if len(one) and len(two):
             reps, comps = two.rep.to_numpy(), two.comp.to_numpy()
-            sizes = np.array([len(x) // 8 for x in two.hashes])
-            owner, hashes = np.repeat(np.arange(len(two)), sizes), np.frombuffer(b"".join(two.hashes), np.uint64)
-            for rep, comp, mine in zip(one.rep, one.comp, one.hashes):
-                mine = np.frombuffer(mine, np.uint64)
-                shared = np.bincount(owner[np.isin(hashes, mine, assume_unique=False)], minlength=len(two))
+            sets = [np.frombuffer(x, np.uint64) for x in two.hashes]
+            sizes = np.array(list(map(len, sets)))
+            ones = [np.frombuffer(x, np.uint64) for x in one.hashes]
+            counts = np.zeros((len(ones), len(sets)), np.int64)
+            part = (np.cumsum(sizes) - sizes) // LOOKED_UP
+            for members in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(part)) + 1):
+                hashes, starts = np.concatenate([sets[m] for m in members]), np.cumsum(sizes[members]) - sizes[members]
+                for k, mine in enumerate(ones):
+                    at = np.minimum(np.searchsorted(mine, hashes), len(mine) - 1)
+                    counts[k, members] = np.add.reduceat(mine[at] == hashes, starts, dtype=np.int64)
+            for rep, comp, mine, shared in zip(one.rep, one.comp, ones, counts):
                 close = np.flatnonzero((comps != comp) & (shared > 0) & (100 * shared >= percent * (sizes + len(mine) - shared)))
                 for k in close[np.unique(comps[close], return_index=True)[1]]:
                     out.append((min(rep, reps[k]), max(rep, reps[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = blocks.join(sets, "rep").select("key", "i", "j", "rep", "comp", "probe", "hashes")
+    rows = blocks.join(sets.where("length(hashes) > 0"), "rep").select("key", "i", "j", "rep", "comp", "probe", "hashes")
     return rows.groupBy("key", "i", "j").applyInPandas(verify, "a long, b long").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
     found = materialize(features(docs))
     classes = found.where("sets is not null and doc_id is not null").groupBy("sets").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes)
-    rows = banded(classes)
-    pairs = materialize(judged(neighbours(rows), classes))
+    rows = banded(classes, percent)
+    pairs = materialize(judged(neighbours(rows), classes, percent))
     roots = None
     if not pairs.isEmpty():
         sets = materialize(full_sets(docs, pairs.selectExpr("a rep").union(pairs.selectExpr("b rep"))))
-        roots = joined_up(pairs, sets, roots, rounds=2)
-    late = materialize(unfinished(rows, classes, roots))
+        roots = joined_up(pairs, lambda some: verified(some, sets, percent), roots, rounds=2)
+    late = materialize(unfinished(rows, classes, roots, percent))
     if not late.isEmpty():
-        links = materialize(block_links(late, full_sets(docs, late.select("rep"))))
+        links = materialize(block_links(late, full_sets(docs, late.select("rep")), percent))
         roots = contracted(relabelled(links, roots), roots)
     out = found.select("doc_id", "n_shingles", "sets").join(classes.select("sets", "rep"), "sets", "left")
     if roots is not None:
@@ -357,9 +374,9 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Whole rows of one document of each component: the one with the smallest id, once; rows with null id are left alone."""
-    found = materialize(components(docs).where("doc_id is not null").select("doc_id", "kept"))
+    found = materialize(components(docs, percent).where("doc_id is not null").select("doc_id", "kept"))
     key = docs["doc_id"].cast("long")
 
     def listed(ids: DataFrame) -> DataFrame:

@@ -83,6 +83,31 @@ def test_keep_leaves_one_whole_row_of_each(spark, docs, odd):
     assert sorted(map(str, ids)) == sorted(map(str, [1, 2, 3, 4, 5, None, 6, 7, 8]))
 
 
+def test_bands_follow_from_the_threshold():
+    assert neardup.banding() == neardup.banding(85) == (6, 24) and neardup.banding(80) == (5, 28)
+    rows = np.arange(288, dtype=np.uint16).reshape(2, 144)
+    assert neardup.band_keys(rows).shape == (2, 24) and neardup.band_keys(rows, 80).shape == (2, 28)
+    assert all(x <= y for x, y in zip(neardup.least_matches(80), neardup.least_matches(85)))
+
+
+def test_threshold_is_an_argument(spark, docs):
+    words = [f"w{k}" for k in range(100)]
+    near = list(words)
+    near[20] = near[70] = "other"  # 86 shingles of 106 are shared: 0.811
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"v{k}" for k in range(100)))]
+    at = lambda percent: {r["doc_id"]: r["component_id"] for r in neardup.components(docs(rows), percent).collect()}
+    assert at(85) == {1: 1, 2: 2, 3: 3} and at(80) == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"] for r in neardup.keep(docs(rows), 80).collect()} == {1, 3}
+
+
+def test_block_links_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOOKED_UP", 4)
+    members = {1: range(10), 2: range(1, 10), 3: range(20, 30), 4: range(11), 5: []}
+    blocks = spark.createDataFrame([(0, 0, 0, k, k, k == 1) for k in members], "key long, i int, j int, rep long, comp long, probe boolean")
+    sets = spark.createDataFrame([(k, np.array(list(v), np.uint64).tobytes()) for k, v in members.items()], "rep long, hashes binary")
+    assert sorted(map(tuple, neardup.block_links(blocks, sets, 85).collect())) == [(1, 2), (1, 4)]
+
+
 def test_components_of_long_chains(spark):
     n = 200
     order = list(range(n))

@@ -44,6 +44,14 @@ def test_stages(spark, tables):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, tables).collect()} == seen["encoding"]
 
 
+def test_near_duplicates_of_80_percent_go(spark, docs):
+    words = [f"w{k}" for k in range(100)]
+    near = list(words)
+    near[20] = near[70] = "other"  # 0.811
+    kept = corpus_pipeline.distinct(spark, docs([(1, " ".join(words)), (2, " ".join(near))]), "")
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
 def test_registered():
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
     assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11))
