@@ -71,6 +71,10 @@ def shingles(text: str | None, cache: Cache, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def set_hash(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """16 bits of the minimum under each hash function."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -139,7 +143,7 @@ def features(docs: DataFrame) -> DataFrame:
                 schema,
                 doc_id=b.column(0),
                 n_shingles=[len(x) for x in found],
-                sets=[hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found],
+                sets=list(map(set_hash, found)),
                 sig=[signature(x).tobytes() if len(x) else None for x in found],
             )
 
@@ -353,6 +357,11 @@ def block_links(blocks: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
 
 def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept of every row."""
+    return placed(docs, percent).drop("sets")
+
+
+def placed(docs: DataFrame, percent: int) -> DataFrame:
+    """What ``components`` gives, with the hash of each row's set."""
     found = materialize(features(docs))
     classes = found.where("sets is not null and doc_id is not null").groupBy("sets").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = materialize(classes)
@@ -371,23 +380,44 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         out = out.join(roots.selectExpr("node rep", "root"), "rep", "left")
         out = out.withColumn("rep", F.coalesce("root", "rep"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "sets", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def with_sets(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the hash of each row's set as a last column."""
+    wide = docs.withColumn(name, F.col("text").cast("string"))
+
+    def run(batches):
+        cache = Cache(word_hash, 250_000)
+        for b in batches:
+            cache.trim()
+            found = [set_hash(shingles(t, cache)) for t in b.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], names=b.schema.names)
+
+    return map_batches(wide, run, docs.withColumn(name, F.lit(None).cast("binary")).schema)
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Whole rows of one document of each component: the one with the smallest id, once; rows with null id are left alone."""
-    found = materialize(components(docs, percent).where("doc_id is not null").select("doc_id", "kept"))
+    """Whole rows of one document of each component: the one with the smallest id, once; rows with null id are left alone.
+
+    An id whose rows have different sets can be in several components; its rows are then told apart by their sets.
+    """
+    found = materialize(placed(docs, percent).where("doc_id is not null").select("doc_id", "sets", "kept"))
     key = docs["doc_id"].cast("long")
 
     def listed(ids: DataFrame) -> DataFrame:
         ids = materialize(ids.select(F.col("doc_id").alias("relloom_id")).distinct())
         return F.broadcast(ids) if ids.count() <= FEW else ids
 
-    gone = listed(found.where("not kept"))
+    by_id = materialize(found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n")))
+    gone = listed(by_id.where("stay = 0"))
     rows = docs.join(gone, key == gone["relloom_id"], "left_anti")
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    twice = by_id.where("stay > 0 and n > 1")
     if twice.isEmpty():
         return rows
     twice = listed(twice)
-    again = rows.join(twice, key == twice["relloom_id"], "left_semi").dropDuplicates(["doc_id"])
+    again = with_sets(rows.join(twice, key == twice["relloom_id"], "left_semi"), "relloom_sets")
+    stay = found.where("kept").select(F.col("doc_id").alias("relloom_id"), F.col("sets").alias("relloom_kept")).distinct()
+    same = (again["doc_id"].cast("long") == stay["relloom_id"]) & again["relloom_sets"].eqNullSafe(stay["relloom_kept"])
+    again = again.join(stay, same, "left_semi").drop("relloom_sets").dropDuplicates(["doc_id"])
     return rows.join(twice, key == twice["relloom_id"], "left_anti").union(again)

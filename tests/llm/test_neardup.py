@@ -106,6 +106,12 @@ def test_block_links_by_hand(spark, monkeypatch):
     blocks = spark.createDataFrame([(0, 0, 0, k, k, k == 1) for k in members], "key long, i int, j int, rep long, comp long, probe boolean")
     sets = spark.createDataFrame([(k, np.array(list(v), np.uint64).tobytes()) for k, v in members.items()], "rep long, hashes binary")
     assert sorted(map(tuple, neardup.block_links(blocks, sets, 85).collect())) == [(1, 2), (1, 4)]
+def test_keep_tells_rows_of_one_id_apart(spark, docs):
+    one, two = (" ".join(f"{a}{k}" for k in range(40)) for a in "vw")
+    rows = [(1, one), (5, one), (5, two), (9, two), (7, "alone in here"), (8, "twice"), (8, "twice")]
+    kept = neardup.keep(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, one), (5, two), (7, "alone in here"), (8, "twice")])
 
 
 def test_components_of_long_chains(spark):
