@@ -329,10 +329,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).where(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS)
     texts = sorted(r["text"] or "" for r in sample.select("text").collect())
     warm = [np.array([vocab.id(w) for w in [*words_of(t), END]], np.int64) for t in texts]
-    if not warm:
-        return p
     trainer = Trainer(p, 0.01)
-    for epoch in range(WARM):
+    for epoch in range(WARM if warm else 0):  # without a sample, all is left to the pass
         trainer.rate = 0.01 / (1 + epoch)
         run(p, warm, 32, trainer)
     shared = spark.sparkContext.broadcast((vocab, packed(p)))

@@ -120,6 +120,13 @@ def test_size_of_the_model_and_of_its_steps(passes):
     assert p["u"].shape == (24, 72) and max(made[-1]) <= 128 * 32
 
 
+def test_long_documents_alone_train_the_network(passes):
+    rows = [(k, f"a{k} b " * 6000) for k in range(3)]
+    made, vocab, p = passes(rows)
+    assert all(len(t) > grulm.FIT_CHARS for _, t in rows) and sum(made[-1]) == 3 * 12001
+    assert not np.array_equal(p["u"], grulm.start(vocab)["u"])
+
+
 def test_scores_by_hand(spark, docs, odd, monkeypatch):
     monkeypatch.setattr(grulm, "KNOWN", 50)  # so that the join of rare tokens is used as well
     rows = corpus() + [(1000 + k, t) for k, (_, t) in enumerate(odd)]
