@@ -6,13 +6,16 @@ classes of equal size by rank, and each has a probability within its class that
 in a class by its first two characters, where its probability is (count + 1) / (tokens + types + 1) of that class, the one
 being for all unknown tokens. So the probabilities of all tokens sum to 1 for any state.
 
-Training: the network starts as the unigram model, is warmed up on the driver with a bounded, hash-chosen sample, and is then
-trained by every partition on all its training documents (truncated backpropagation; a gradient in every window, the state
-carried from one to the next). The partitions' weights are averaged by tokens in a tree. Scoring carries the state through
-each whole document, window after window, many documents side by side.
-
-Null and empty texts are one end token. Without training documents no token is known and every score is 0. Repeated rows
-score alike; only id and text are read.
+Training: the network starts as the unigram model, is warmed up on the driver with a bounded, hash-chosen sample (FIT_DOCS rows
+of at most FIT_TOKENS tokens each), and is then trained by every partition on all its training documents, whatever their
+lengths (truncated backpropagation; a gradient in every window, the state carried from one to the next). The
+partitions' weights are averaged by tokens in a tree. Scoring carries the state through each whole document, window after
+window, many documents side by side. Texts are cut into words twice: to count them, and to write each document's ids, from
+which the network learns and scores.
+
+Null and empty texts are one end token. Without training documents no token is known and every score is 0. Words of equal
+counts are ranked in alphabetical order. Repeated rows score alike; only id and text are read. A worker holds the ids of about
+GATHER tokens, or of one document if that is longer.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from .common import Cache, batch, held, map_batches, materialize
 #: Vocabulary classes and their size; classes of the other tokens; state; window; lanes side by side when training and scoring.
 CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 512
 VOCABULARY = CLASSES * SIZE
-#: Tokens whose counts are broadcast; documents and characters of the driver's sample; epochs over it.
-KNOWN, FIT_DOCS, FIT_CHARS, WARM = 200_000, 400, 20_000, 3
+#: Tokens whose counts are broadcast; documents of the driver's sample and tokens of each at most; epochs over it.
+KNOWN, FIT_DOCS, FIT_TOKENS, WARM = 200_000, 400, 20_000, 3
+#: Learning rates of the warm-up and of the pass.
+WARM_RATE, RATE = 0.01, 0.002
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
 GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 32
 END = ""
@@ -88,55 +93,72 @@ def start(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def chosen(logits: np.ndarray, at: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each row's log softmax at one column and, if asked for, all the row's probabilities."""
+def chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's log softmax at one column, and the sums of its exponentials, which ``logits`` holds afterwards."""
     rows = np.arange(len(at))
-    logits -= logits.max()  # one shift for all; a row that it would leave without mass is shifted by its own
+    top = logits.max(initial=0)
+    if top > 60:
+        logits -= top  # one shift for all; a row that it would leave without mass is shifted by its own
     picked = logits[rows, at].astype(np.float64)
     np.exp(logits, out=logits)
-    sums = logits.sum(axis=1)
-    if sums.min() < 1e-25:
-        logits = np.log(np.maximum(logits, 1e-37))
+    sums = logits @ np.ones(logits.shape[1], logits.dtype)
+    if sums.min(initial=1) < 1e-25:
+        np.log(np.maximum(logits, 1e-37, out=logits), out=logits)
         logits -= logits.max(axis=1, keepdims=True)
         picked = logits[rows, at].astype(np.float64)
         np.exp(logits, out=logits)
         sums = logits.sum(axis=1)
-    if full:
-        logits /= sums[:, None]
-    return picked - np.log(sums), logits if full else None
+    return picked - np.log(sums), sums
 
 
 def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probabilities of ``targets`` and, with ``grads``, the loss's gradient for the states."""
+    """Natural log probabilities of ``targets`` and, with ``grads``, the loss's gradient for the states.
+
+    Rows are put in the order of their classes, so that each class's words are one product; biases are a column of ones.
+    """
+    n = STATE
     inside = targets < VOCABULARY
     kind = np.where(inside, targets // SIZE, targets - VOCABULARY + CLASSES)
-    found, wrong = chosen(states @ p["c"] + p["cb"], kind, grads is not None)
-    back = None
-    if grads is not None:
-        wrong[np.arange(len(targets)), kind] -= 1
-        grads["c"] += states.T @ wrong
-        grads["cb"] += wrong.sum(axis=0)
-        back = wrong @ p["c"].T
-    order = np.argsort(np.where(inside, kind, CLASSES).astype(np.uint8), kind="stable")
-    ends = np.searchsorted(kind[order][: int(inside.sum())], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        at = order[ends[k] : ends[k + 1]]
-        if len(at):
-            mine, word = states[at], targets[at] % SIZE
-            more, wrong = chosen(mine @ p["o"][k] + p["ob"][k], word, grads is not None)
-            found[at] += more
-            if grads is not None:
-                wrong[np.arange(len(at)), word] -= 1
-                grads["o"][k] += mine.T @ wrong
-                grads["ob"][k] += wrong.sum(axis=0)
-                back[at] += wrong @ p["o"][k].T
+    order = np.argsort(kind.astype(np.uint8), kind="stable")
+    kind, word = kind[order], targets[order] % SIZE
+    ends = np.searchsorted(kind, np.arange(CLASSES + 1))
+    told = int(ends[CLASSES])
+    mine = np.ones((len(targets), n + 1), p["c"].dtype)
+    mine[:, :n] = states[order]
+    by_class = np.concatenate([p["c"], p["cb"][None]])
+    by_word = np.concatenate([p["o"], p["ob"][:, None]], axis=1)
+    first = mine @ by_class
+    second = np.empty((told, SIZE), first.dtype)
+    spans = [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k] < ends[k + 1]]
+    for k, a, b in spans:
+        np.matmul(mine[a:b], by_word[k], out=second[a:b])
+    logs, sums = chosen(first, kind)
+    more, inner = chosen(second, word[:told])
+    logs[:told] += more
+    found = np.empty(len(targets))
+    found[order] = logs
+    if grads is None:
+        return found, None
+    # softmax less target, with each row's division by its sum done on the narrow side
+    first[np.arange(len(kind)), kind] -= sums
+    second[np.arange(told), word[:told]] -= inner
+    weighed = mine / sums[:, None]
+    both = weighed.T @ first
+    grads["c"] += both[:n]
+    grads["cb"] += both[n]
+    down = first @ p["c"].T
+    down /= sums[:, None]
+    weighed = mine[:told] / inner[:, None]
+    deep = np.empty((told, n), first.dtype)
+    for k, a, b in spans:
+        both = weighed[a:b].T @ second[a:b]
+        grads["o"][k] += both[:n]
+        grads["ob"][k] += both[n]
+        np.matmul(second[a:b], p["o"][k].T, out=deep[a:b])
+    deep /= inner[:, None]
+    down[:told] += deep
+    back = np.empty_like(down)
+    back[order] = down
     return found, back
 
 
@@ -144,76 +166,120 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
     """One window [steps, lanes]: log probabilities (0 where padded) and the state after it.
 
     ids: tokens, -1 for padding; before: the lanes' tokens before the window; fresh: where a document starts.
+    Inside, a step's numbers lie unit by unit, lanes side by side, so that every gate is one run of memory.
     """
     steps, lanes = ids.shape
-    n = STATE
-    states = np.empty((steps, lanes, n), np.float32)
-    kept = []
-    given = np.concatenate([before[None], np.maximum(ids[:-1], 0)])
+    n, kind = STATE, p["x"].dtype
+    given = np.concatenate([before[None], np.maximum(ids[:-1], 0)]).ravel()
+    inputs = np.ascontiguousarray(p["x"].take(given, axis=0).reshape(steps, lanes, 3 * n).transpose(0, 2, 1))
+    inputs[:, : 2 * n] *= 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+    half = np.ascontiguousarray(p["u"].T)
+    half[: 2 * n] *= 0.5
+    parts, gates, news = (np.empty((steps, m * n, lanes), kind) for m in (3, 2, 1))
+    states = np.empty((steps + 1, n, lanes), kind)
+    states[0] = state.T
+    starts = [np.flatnonzero(f) if some else None for f, some in zip(fresh, fresh.any(axis=1))]
     for t in range(steps):
-        x, u = p["x"][given[t]], state @ p["u"]
-        gates = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-        r, z = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-        old, state = state, new + z * (state - new)
-        state[fresh[t]] = 0
-        states[t] = state
-        if grads is not None:
-            kept.append((old, r, z, new, u[:, 2 * n :]))
+        part, gate, new, now = parts[t], gates[t], news[t], states[t + 1]
+        np.matmul(half, states[t], out=part)
+        np.add(part[: 2 * n], inputs[t, : 2 * n], out=gate)
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        np.multiply(gate[:n], part[2 * n :], out=new)
+        new += inputs[t, 2 * n :]
+        np.tanh(new, out=new)
+        np.subtract(states[t], new, out=now)
+        now *= gate[n:]
+        now += new
+        if starts[t] is not None:
+            now[:, starts[t]] = 0
     real = ids >= 0
-    logs = np.zeros(ids.shape)
-    logs[real], back = outputs(p, states[real], ids[real], grads)
+    at = None if real.all() else np.flatnonzero(real)
+    flat = np.ascontiguousarray(states[1:].transpose(0, 2, 1)).reshape(-1, n)
+    found, back = outputs(p, flat if at is None else flat[at], ids.ravel() if at is None else ids.ravel()[at], grads)
+    logs = found if at is None else np.zeros(ids.size)
+    if at is not None:
+        logs[at] = found
     if grads is not None:
-        below = np.zeros(states.shape, np.float32)
-        below[real] = back
-        carry = np.zeros((lanes, n), np.float32)
-        of_x, of_u = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
+        if at is not None:
+            flat[:] = 0
+            flat[at] = back
+            back = flat
+        below = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
+        r, z = gates[:, :n], gates[:, n:]
+        of_new = 1 - news * news
+        of_new *= 1 - z
+        of_reset = parts[:, 2 * n :] * r
+        of_reset *= 1 - r
+        of_update = states[:-1] - news
+        of_update *= z
+        of_update *= 1 - z
+        carry, of_input = np.zeros((n, lanes), kind), np.empty((steps, n, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            old, r, z, new, un = kept[t]
-            d = below[t] + carry
-            d[fresh[t]] = 0
-            dn = d * (1 - z) * (1 - new * new)
-            of_x[t, :, :n] = of_u[t, :, :n] = dn * un * r * (1 - r)
-            of_x[t, :, n : 2 * n] = of_u[t, :, n : 2 * n] = d * (old - new) * z * (1 - z)
-            of_x[t, :, 2 * n :] = dn
-            of_u[t, :, 2 * n :] = dn * r
-            carry = d * z + of_u[t] @ p["u"].T
-        olds = np.stack([k[0] for k in kept]).reshape(-1, n)
-        grads["u"] += olds.T @ of_u.reshape(-1, 3 * n)
-        flat = given.ravel()
-        order = np.argsort(flat, kind="stable")
-        distinct, at = np.unique(flat[order], return_index=True)
-        grads["x"][distinct] += np.add.reduceat(of_x.reshape(-1, 3 * n)[order], at, axis=0)
-    return logs, state
+            d, part, new = below[t], parts[t], of_input[t]
+            d += carry
+            if starts[t] is not None:
+                d[:, starts[t]] = 0
+            np.multiply(d, of_new[t], out=new)
+            np.multiply(new, of_reset[t], out=part[:n])
+            np.multiply(d, of_update[t], out=part[n : 2 * n])
+            np.multiply(new, r[t], out=part[2 * n :])
+            np.matmul(p["u"], part, out=carry)
+            d *= z[t]
+            carry += d
+        grads["u"] += np.matmul(states[:-1], parts.transpose(0, 2, 1)).sum(axis=0)
+        parts[:, 2 * n :] = of_input
+        rows = np.ascontiguousarray(parts.transpose(0, 2, 1)).reshape(-1, 3 * n)
+        order = np.argsort(given.astype(np.uint16), kind="stable")
+        distinct, first = np.unique(given[order], return_index=True)
+        grads["x"][distinct] += np.add.reduceat(rows[order], first, axis=0)
+    return logs.reshape(ids.shape), states[-1].T
 
 
 class Trainer:
-    """Adam with clipped gradients."""
+    """Adam with clipped gradients; all weights lie in one array, of which ``p`` holds views."""
 
     def __init__(self, p: dict, rate: float):
         self.p, self.rate, self.steps = p, rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+        self.flat = np.concatenate([p[k].ravel() for k in sorted(p)])
+        self.first, self.second, self.slope, self.spare = (np.zeros_like(self.flat) for _ in range(4))
+        self.slopes, at = {}, 0
+        for k in sorted(p):
+            shape, end = p[k].shape, at + p[k].size
+            p[k], self.slopes[k] = self.flat[at:end].reshape(shape), self.slope[at:end].reshape(shape)
+            at = end
 
     def grads(self) -> dict:
-        return {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.slope[:] = 0
+        return self.slopes
 
     def step(self, grads: dict, tokens: int) -> None:
+        """One step along ``grads``, which are those that ``grads()`` gave."""
         self.steps += 1
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / tokens
-        scale = min(1.0, 1.0 / (size + 1e-12)) / tokens
+        g, spare = self.slope, self.spare
+        size = float(np.sqrt(g @ g)) / tokens
+        g *= min(1.0, 1.0 / (size + 1e-12)) / tokens
         rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k, g in grads.items():
-            g *= scale
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.p[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-5)
+        np.multiply(g, g, out=spare)
+        spare *= 0.01
+        self.second *= 0.99
+        self.second += spare
+        g *= 0.1
+        self.first *= 0.9
+        self.first += g
+        np.sqrt(self.second, out=spare)
+        spare += 1e-5
+        np.divide(self.first, spare, out=spare)
+        spare *= rate
+        self.flat -= spare
 
 
 def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = None) -> np.ndarray:
     """Each document's log10 probability by ``p``; with a trainer, also a step in every window.
 
     Documents are dealt to lanes, longest first to the shortest lane; lanes are ordered so that those still busy come first.
+    Scoring goes through a window in shorter spans, which changes no result and keeps its numbers in the processor's cache.
     """
     lanes = max(1, min(lanes, len(docs)))
     heap = [(0, k) for k in range(lanes)]
@@ -229,6 +295,7 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
     sizes = np.array([len(x) for x in tokens])
     total = np.zeros(len(docs))
     state, last, last_owner = np.zeros((len(tokens), STATE), np.float32), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1)
+    span = WINDOW if trainer else max(1, WINDOW * LANES // max(LANES, lanes))
     for k in range(0, int(sizes.max(initial=0)), WINDOW):
         busy = int((sizes > k).sum())
         steps = min(WINDOW, int(sizes[0]) - k)
@@ -238,13 +305,17 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
             ids[: len(part), j] = part
             whose[: len(part), j] = owners[j][k : k + steps]
         fresh = whose != np.concatenate([last_owner[None, :busy], whose[:-1]])
-        grads = trainer.grads() if trainer else None
-        logs, state = window(p, ids, last[:busy], fresh, state[:busy], grads)
-        if grads is not None:
-            trainer.step(grads, int((ids >= 0).sum()))
         real = ids >= 0
-        total += np.bincount(whose[real], logs[real], len(docs))
-        last, last_owner = np.maximum(ids[-1], 0), whose[-1]
+        state, last = state[:busy], last[:busy]
+        for t in range(0, steps, span):
+            grads = trainer.grads() if trainer else None
+            logs, state = window(p, ids[t : t + span], last, fresh[t : t + span], state, grads)
+            if grads is not None:
+                trainer.step(grads, int(real.sum()))
+            here = real[t : t + span]
+            total += np.bincount(whose[t : t + span][here], logs[here], len(docs))
+            last = np.maximum(ids[min(t + span, steps) - 1], 0)
+        last_owner = whose[-1]
     return total / np.log(10)
 
 
@@ -295,18 +366,69 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     return Vocabulary([r["word"] for r in top], [r["c"] for r in top], [r["prefix"] for r in prefixes], [others, *((r["n"], r["v"]) for r in prefixes)]), total[0] or 0, total[1] or 0
 
 
-def gathered(batches, encode):
-    """Rows of about GATHER tokens at a time, as ``encode`` makes them from a batch's columns; texts aren't kept."""
-    docs, size = [], 0
+def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Each text's tokens as the network's ids (little-endian unsigned 16 bits), beside the columns of ``rows`` but the last, its text.
+
+    uid: a number for the row; n_tokens; n_known, base and inner: tokens with a broadcast count, the sum of their log10(c + 1),
+    and what lies inside the classes of tokens beyond the vocabulary; rare: the other tokens, which may have a count, and their number.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    kept = [(f.name, f.dataType.simpleString()) for f in rows.schema[:-1]]
+    more = "uid long, n_tokens long, n_known long, base double, inner double, ids binary, rare array<struct<word:string,n:long>>"
+    item = pa.struct([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        mine = shared.value
+        uid = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
+        known = {w: k for k, w in enumerate(mine.words)}
+        logs = np.log10(mine.counts + 1.0) if len(mine.counts) else np.zeros(1)
+        slot_ids = np.array([mine.id(w) for w in mine.words] or [VOCABULARY], np.int64)
+        # a known token's slot, or for others -1 - class
+        slots = Cache(lambda w: known[w] if w in known else VOCABULARY - 1 - mine.id(w), CACHED)
+        for b in batches:
+            slots.trim()
+            words, sizes = [], []
+            for text in b.columns[-1].to_pylist():
+                before = len(words)
+                words += words_of(text)
+                words.append(END)
+                sizes.append(len(words) - before)
+            if not sizes:
+                continue
+            ends = np.cumsum(sizes)
+            firsts = ends - sizes
+            at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
+            there, slot = at >= 0, np.maximum(at, 0)
+            ids = np.where(there, slot_ids[slot], VOCABULARY - 1 - at)
+            own = np.where(there, logs[slot], 0.0)
+            inner = np.where(ids >= VOCABULARY, own - mine.norms[np.maximum(ids - VOCABULARY, 0)], 0.0)
+            small = ids.astype("<u2")
+            others = np.flatnonzero(~there)
+            cut = np.searchsorted(others, np.append(firsts, len(words)))
+            counted = [Counter(words[k] for k in others[i:j].tolist()) for i, j in zip(cut[:-1], cut[1:])]
+            columns = [*b.columns[:-1], pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64())]
+            columns += [pa.array(np.add.reduceat(there, firsts, dtype=np.int64)), pa.array(np.add.reduceat(own, firsts)), pa.array(np.add.reduceat(inner, firsts))]
+            columns += [pa.array([small[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()), pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in counted], pa.list_(item))]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kept] + ["uid", "n_tokens", "n_known", "base", "inner", "ids", "rare"])
+            uid += len(sizes)
+
+    return map_batches(rows, run, ", ".join([*(f"`{n}` {t}" for n, t in kept), more]))
+
+
+def gathered(batches, column: int):
+    """(rows of the other columns, ids) of about GATHER tokens at a time."""
+    rows, docs, size = [], [], 0
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            docs.append(encode(*row))
-            size += len(docs[-1])
+        found = [np.frombuffer(x, "<u2") for x in b.column(column).to_pylist()]
+        for row, doc in zip(zip(*(c.to_pylist() for k, c in enumerate(b.columns) if k != column), strict=True) if b.num_columns > 1 else [()] * len(found), found):
+            rows.append(row)
+            docs.append(doc)
+            size += len(doc)
             if size >= GATHER:
-                yield docs
-                docs, size = [], 0
+                yield rows, docs
+                rows, docs, size = [], [], 0
     if docs:
-        yield docs
+        yield rows, docs
 
 
 def packed(p: dict) -> bytes:
@@ -322,16 +444,21 @@ def unpacked(data: bytes, like: dict) -> dict:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
-    """Weights after the warm-up and one pass of every partition over its training documents (``docs`` holds only those)."""
+    """Weights after the warm-up and one pass of every partition over its training documents (``docs`` holds only those).
+
+    docs: doc_id and text, or what ``encoded`` made of them.
+    """
     p = start(vocab)
     spark = docs.sparkSession
-    rate = int(1_000_000 * min(1.0, FIT_DOCS / max(training, 1))) + 1
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).where(F.length(F.coalesce("text", F.lit(""))) <= FIT_CHARS)
-    texts = sorted(r["text"] or "" for r in sample.select("text").collect())
-    warm = [np.array([vocab.id(w) for w in [*words_of(t), END]], np.int64) for t in texts]
-    trainer = Trainer(p, 0.01)
+    if "ids" not in docs.columns:
+        docs = encoded(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), vocab)
+    # rows by their hash: about twice as many as are wanted pass the filter, and the limit is exact
+    share, rank = int(2**62 * min(1.0, 2 * FIT_DOCS / max(training, 1))), F.xxhash64("doc_id", "ids")
+    sample = docs.where(F.col("n_tokens") <= FIT_TOKENS).select(F.shiftrightunsigned(rank, 2).alias("rank"), "ids").where(F.col("rank") <= share)
+    warm = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in sample.orderBy("rank", "ids").limit(FIT_DOCS).collect()]
+    trainer = Trainer(p, WARM_RATE)
     for epoch in range(WARM if warm else 0):  # without a sample, all is left to the pass
-        trainer.rate = 0.01 / (1 + epoch)
+        trainer.rate = WARM_RATE / (1 + epoch)
         run(p, warm, 32, trainer)
     shared = spark.sparkContext.broadcast((vocab, packed(p)))
     schema = pa.schema([("weight", pa.float64()), ("model", pa.binary())])
@@ -339,14 +466,8 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
     def train(batches):
         mine, data = shared.value
         local = unpacked(data, p_like(mine))
-        trainer, seen = Trainer(local, 0.002), 0
-        cache = Cache(mine.id, CACHED)
-
-        def encode(text):
-            cache.trim()
-            return np.fromiter(map(cache.__getitem__, [*words_of(text), END]), np.int32)
-
-        for part in gathered(batches, encode):
+        trainer, seen = Trainer(local, RATE), 0
+        for _, part in gathered(batches, 0):
             run(local, part, LANES, trainer)
             seen += sum(map(len, part))
         if seen:
@@ -361,87 +482,44 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
         if total is not None:
             yield batch(schema, weight=[weight], model=[(total / weight).astype("<f4").tobytes()])
 
-    models = materialize(map_batches(docs.select("text"), train, "weight double, model binary"))
-    while (n := models.count()) > FAN_IN:
+    models = materialize(map_batches(docs.select("ids"), train, "weight double, model binary"))
+    while (n := models.count()) > 1:  # a tree of tasks, FAN_IN models in each
         models = materialize(map_batches(models.repartition(-(-n // FAN_IN)), add, "weight double, model binary"))
-    found = models.collect()  # at most FAN_IN models
-    if not found:
-        return p
-    weights = np.array([r["weight"] for r in found])
-    mean = sum(w * np.frombuffer(r["model"], "<f4").astype(np.float64) for w, r in zip(weights, found)) / weights.sum()
-    return unpacked(mean.astype("<f4").tobytes(), p)
+    found = models.first()
+    return unpacked(found["model"], p) if found else p
 
 
 def p_like(vocab: Vocabulary) -> dict:
-    return start(vocab)
+    """Arrays of the shapes that the weights have."""
+    n, groups = STATE, PREFIXES + 1
+    shapes = {"x": (VOCABULARY + groups, 3 * n), "u": (n, 3 * n), "c": (n, CLASSES + groups), "cb": (CLASSES + groups,), "o": (CLASSES, n, SIZE), "ob": (CLASSES, SIZE)}
+    return {k: np.zeros(shape, np.float32) for k, shape in shapes.items()}
 
 
 def scores(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held("doc_id", mod, rest).alias("held_out"), F.col("text").cast("string").alias("text"))
-    training = rows.where(~F.col("held_out"))
-    counts = materialize(counted(training))
+    counts = materialize(counted(rows.where(~F.col("held_out"))))
     vocab, tokens, types = vocabulary(counts)
     ends = int(vocab.counts[vocab.words.index(END)]) if END in vocab.words else 0
-    p = fit(training, vocab, ends)
+    found = materialize(encoded(rows, vocab))
+    p = fit(found.where(~F.col("held_out")), vocab, ends)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, packed(p)))
-    schema = pa.schema([
-        ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))),
-    ])
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def score(batches):
         mine, data = shared.value
         weights = unpacked(data, p_like(mine))
-        uid = TaskContext.get().partitionId() << 40
-        known = {w: k for k, w in enumerate(mine.words)}
-        logs = np.log10(mine.counts + 1.0) if len(mine.counts) else np.zeros(1)
-        slot_ids = np.array([mine.id(w) for w in mine.words] or [VOCABULARY], np.int64)
-        # a known token's slot, or for others -1 - class
-        slots = Cache(lambda w: known[w] if w in known else VOCABULARY - 1 - mine.id(w), CACHED)
+        for part, ids in gathered(batches, 0):
+            totals = run(weights, ids, WIDE)
+            for k in range(0, len(part), 4096):
+                inner, *some = map(list, zip(*part[k : k + 4096]))
+                yield batch(schema, **dict(zip(schema.names, some)), score=totals[k : k + len(inner)] + inner)
 
-        class Encoded:
-            def __init__(self, doc_id, held_out, text):
-                self.doc_id, self.held_out = doc_id, held_out
-                words = [*words_of(text), END]
-                slots.trim()
-                at = np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
-                there = at >= 0
-                ids = np.where(there, slot_ids[np.maximum(at, 0)], VOCABULARY - 1 - at)
-                own = np.where(there, logs[np.maximum(at, 0)], 0.0)
-                outside = ids >= VOCABULARY
-                self.ids, self.known, self.base = ids.astype(np.int32), int(there.sum()), float(own.sum())
-                self.inner = float(own[outside].sum() - mine.norms[ids[outside] - VOCABULARY].sum())
-                rare = Counter(words[k] for k in np.flatnonzero(~there).tolist())
-                self.rare, self.times = "\n".join(rare), np.fromiter(rare.values(), np.int32, len(rare))
-
-            def __len__(self):
-                return len(self.ids)
-
-            def rest(self):
-                return [{"word": w, "n": n} for w, n in zip(self.rare.split("\n"), self.times.tolist())] if len(self.times) else []
-
-        for part in gathered(batches, Encoded):
-            totals = run(weights, [d.ids for d in part], WIDE)
-            for k in range(0, len(part), 512):
-                some = part[k : k + 512]
-                yield batch(
-                    schema,
-                    uid=range(uid + k, uid + k + len(some)),
-                    doc_id=[d.doc_id for d in some],
-                    held_out=[d.held_out for d in some],
-                    n_tokens=list(map(len, some)),
-                    n_known=[d.known for d in some],
-                    base=[d.base for d in some],
-                    score=[float(t) + d.inner for t, d in zip(totals[k:], some)],
-                    rare=[d.rest() for d in some],
-                )
-            uid += len(part)
-
-    found = materialize(map_batches(rows, score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,n:long>>"))
+    scored = map_batches(found.select("ids", "inner", "uid", "doc_id", "held_out", "n_tokens", "n_known", "base"), score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
     rare = found.select("uid", F.explode("rare").alias("x")).selectExpr("uid", "x.word word", "x.n n").join(counts, "word")
     more = rare.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("n_more"))
-    out = found.drop("rare").join(more, "uid", "left")
+    out = scored.join(more, "uid", "left")
     norm = log10(tokens + types + 1)
     return out.selectExpr(
         "doc_id", "held_out", "n_tokens", "n_known + coalesce(n_more, 0) n_known", f"cast({tokens} as long) train_tokens",

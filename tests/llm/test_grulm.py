@@ -64,6 +64,35 @@ def test_state_is_carried_whatever_the_lanes(vocab):
     assert np.allclose(grulm.run(p, docs, 100), alone, rtol=1e-4)
 
 
+def slowly(p, vocab, words):
+    """log10 probability of a text by a plain loop over its tokens."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    n, state, total = grulm.STATE, np.zeros(grulm.STATE), 0.0
+    for k, word in enumerate(words):
+        if k:
+            x, u = p["x"][vocab.id(words[k - 1])], state @ p["u"]
+            r, z = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+            state = z * state + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+        kinds, at = softmax(state @ p["c"] + p["cb"]), vocab.id(word)
+        if at < grulm.VOCABULARY:
+            total += log10(kinds[at // grulm.SIZE]) + log10(softmax(state @ p["o"][at // grulm.SIZE] + p["ob"][at // grulm.SIZE])[at % grulm.SIZE])
+        else:
+            total += log10(kinds[at - grulm.VOCABULARY + grulm.CLASSES])
+    return total
+
+
+def test_scores_match_a_loop_over_tokens(vocab):
+    rng = np.random.default_rng(4)
+    p = grulm.start(vocab)
+    for k in ("c", "o", "u"):
+        p[k] += rng.normal(0, 0.3, p[k].shape).astype(np.float32)
+    texts = [[f"w{rng.integers(0, 3000)}" for _ in range(n)] + [""] for n in (0, 1, 5, 31, 32, 33, 150)]
+    ids = [np.array([vocab.id(w) for w in t]) for t in texts]
+    assert np.allclose(grulm.run(p, ids, grulm.WIDE), [slowly(p, vocab, t) for t in texts], rtol=1e-4)
+
+
 def test_training_lowers_the_loss(vocab):
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(0, 30, 3), 40) for _ in range(40)]
@@ -121,9 +150,9 @@ def test_size_of_the_model_and_of_its_steps(passes):
 
 
 def test_long_documents_alone_train_the_network(passes):
-    rows = [(k, f"a{k} b " * 6000) for k in range(3)]
+    rows = [(k, f"a{k} b " * 12000) for k in range(3)]
     made, vocab, p = passes(rows)
-    assert all(len(t) > grulm.FIT_CHARS for _, t in rows) and sum(made[-1]) == 3 * 12001
+    assert all(len(t.split()) > grulm.FIT_TOKENS for _, t in rows) and sum(made[-1]) == 3 * 24001
     assert not np.array_equal(p["u"], grulm.start(vocab)["u"])
 
 
