@@ -21,6 +21,7 @@ GATHER tokens, or of one document if that is longer.
 from __future__ import annotations
 
 import re
+import threading
 from collections import Counter
 from heapq import heapify, heapreplace
 from math import log10
@@ -41,7 +42,7 @@ KNOWN, FIT_DOCS, FIT_TOKENS, WARM = 200_000, 400, 20_000, 3
 #: Learning rates of the warm-up and of the pass.
 WARM_RATE, RATE = 0.01, 0.002
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
-GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 32
+GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 4
 END = ""
 #: What Python takes for space besides ASCII space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -93,6 +94,22 @@ def start(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+class Room(threading.local):
+    """Arrays that are used again in every window, by name: fresh memory costs more than what is done in it."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+        size, key = int(np.prod(shape)), (name, np.dtype(kind))
+        if key not in self.held or len(self.held[key]) < size:
+            self.held[key] = np.empty(size, kind)
+        return self.held[key][:size].reshape(shape)
+
+
+room = Room()
+
+
 def chosen(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's log softmax at one column, and the sums of its exponentials, which ``logits`` holds afterwards."""
     rows = np.arange(len(at))
@@ -122,13 +139,14 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     order = np.argsort(kind.astype(np.uint8), kind="stable")
     kind, word = kind[order], targets[order] % SIZE
     ends = np.searchsorted(kind, np.arange(CLASSES + 1))
-    told = int(ends[CLASSES])
-    mine = np.ones((len(targets), n + 1), p["c"].dtype)
-    mine[:, :n] = states[order]
+    told, many, of = int(ends[CLASSES]), len(targets), p["c"].dtype
+    mine = room("mine", (many, n + 1), of)
+    np.take(states, order, axis=0, out=mine[:, :n], mode="clip")
+    mine[:, n] = 1
     by_class = np.concatenate([p["c"], p["cb"][None]])
     by_word = np.concatenate([p["o"], p["ob"][:, None]], axis=1)
-    first = mine @ by_class
-    second = np.empty((told, SIZE), first.dtype)
+    first, second = room("first", (many, CLASSES + PREFIXES + 1), of), room("second", (told, SIZE), of)
+    np.matmul(mine, by_class, out=first)
     spans = [(k, ends[k], ends[k + 1]) for k in range(CLASSES) if ends[k] < ends[k + 1]]
     for k, a, b in spans:
         np.matmul(mine[a:b], by_word[k], out=second[a:b])
@@ -142,14 +160,15 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
     # softmax less target, with each row's division by its sum done on the narrow side
     first[np.arange(len(kind)), kind] -= sums
     second[np.arange(told), word[:told]] -= inner
-    weighed = mine / sums[:, None]
+    weighed, down = room("weighed", mine.shape, of), room("down", (many, n), of)
+    np.divide(mine, sums[:, None], out=weighed)
     both = weighed.T @ first
     grads["c"] += both[:n]
     grads["cb"] += both[n]
-    down = first @ p["c"].T
+    np.matmul(first, p["c"].T, out=down)
     down /= sums[:, None]
-    weighed = mine[:told] / inner[:, None]
-    deep = np.empty((told, n), first.dtype)
+    weighed, deep = weighed[:told], room("deep", (told, n), of)
+    np.divide(mine[:told], inner[:, None], out=weighed)
     for k, a, b in spans:
         both = weighed[a:b].T @ second[a:b]
         grads["o"][k] += both[:n]
@@ -157,7 +176,7 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, grads: dict | None
         np.matmul(second[a:b], p["o"][k].T, out=deep[a:b])
     deep /= inner[:, None]
     down[:told] += deep
-    back = np.empty_like(down)
+    back = room("back", down.shape, of)
     back[order] = down
     return found, back
 
@@ -171,12 +190,14 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
     steps, lanes = ids.shape
     n, kind = STATE, p["x"].dtype
     given = np.concatenate([before[None], np.maximum(ids[:-1], 0)]).ravel()
-    inputs = np.ascontiguousarray(p["x"].take(given, axis=0).reshape(steps, lanes, 3 * n).transpose(0, 2, 1))
+    rows, inputs = room("rows", (steps * lanes, 3 * n), kind), room("inputs", (steps, 3 * n, lanes), kind)
+    np.take(p["x"], given, axis=0, out=rows, mode="clip")
+    inputs[:] = rows.reshape(steps, lanes, 3 * n).transpose(0, 2, 1)
     inputs[:, : 2 * n] *= 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
     half = np.ascontiguousarray(p["u"].T)
     half[: 2 * n] *= 0.5
-    parts, gates, news = (np.empty((steps, m * n, lanes), kind) for m in (3, 2, 1))
-    states = np.empty((steps + 1, n, lanes), kind)
+    parts, gates, news = (room(name, (steps, m * n, lanes), kind) for name, m in (("parts", 3), ("gates", 2), ("news", 1)))
+    states = room("states", (steps + 1, n, lanes), kind)
     states[0] = state.T
     starts = [np.flatnonzero(f) if some else None for f, some in zip(fresh, fresh.any(axis=1))]
     for t in range(steps):
@@ -196,7 +217,8 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
             now[:, starts[t]] = 0
     real = ids >= 0
     at = None if real.all() else np.flatnonzero(real)
-    flat = np.ascontiguousarray(states[1:].transpose(0, 2, 1)).reshape(-1, n)
+    flat = room("flat", (steps * lanes, n), kind)
+    flat.reshape(steps, lanes, n)[:] = states[1:].transpose(0, 2, 1)
     found, back = outputs(p, flat if at is None else flat[at], ids.ravel() if at is None else ids.ravel()[at], grads)
     logs = found if at is None else np.zeros(ids.size)
     if at is not None:
@@ -206,16 +228,22 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
             flat[:] = 0
             flat[at] = back
             back = flat
-        below = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
+        below, rest = room("below", news.shape, kind), room("rest", news.shape, kind)
+        below[:] = back.reshape(steps, lanes, n).transpose(0, 2, 1)
         r, z = gates[:, :n], gates[:, n:]
-        of_new = 1 - news * news
-        of_new *= 1 - z
-        of_reset = parts[:, 2 * n :] * r
-        of_reset *= 1 - r
-        of_update = states[:-1] - news
+        of_new, of_reset, of_update = (room(name, news.shape, kind) for name in ("of_new", "of_reset", "of_update"))
+        np.subtract(states[:-1], news, out=of_update)
         of_update *= z
-        of_update *= 1 - z
-        carry, of_input = np.zeros((n, lanes), kind), np.empty((steps, n, lanes), kind)
+        np.multiply(news, news, out=of_new)
+        np.subtract(1, of_new, out=of_new)
+        np.subtract(1, z, out=rest)
+        of_update *= rest
+        of_new *= rest
+        np.subtract(1, r, out=rest)
+        np.multiply(parts[:, 2 * n :], r, out=of_reset)
+        of_reset *= rest
+        carry, of_input = np.zeros((n, lanes), kind), rest
+        of_u, one = np.zeros((n, 3 * n), kind), np.empty((n, 3 * n), kind)
         for t in range(steps - 1, -1, -1):
             d, part, new = below[t], parts[t], of_input[t]
             d += carry
@@ -226,15 +254,16 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
             np.multiply(d, of_update[t], out=part[n : 2 * n])
             np.multiply(new, r[t], out=part[2 * n :])
             np.matmul(p["u"], part, out=carry)
+            np.matmul(states[t], part.T, out=one)
+            of_u += one
             d *= z[t]
             carry += d
-        grads["u"] += np.matmul(states[:-1], parts.transpose(0, 2, 1)).sum(axis=0)
+        grads["u"] += of_u
         parts[:, 2 * n :] = of_input
-        rows = np.ascontiguousarray(parts.transpose(0, 2, 1)).reshape(-1, 3 * n)
-        order = np.argsort(given.astype(np.uint16), kind="stable")
-        distinct, first = np.unique(given[order], return_index=True)
-        grads["x"][distinct] += np.add.reduceat(rows[order], first, axis=0)
-    return logs.reshape(ids.shape), states[-1].T
+        rows = rows.reshape(3 * n, -1)
+        rows.reshape(3 * n, steps, lanes)[:] = parts.transpose(1, 0, 2)
+        grads["x"] += np.stack([np.bincount(given, row, len(p["x"])) for row in rows], axis=1)
+    return logs.reshape(ids.shape), states[-1].T.copy()
 
 
 class Trainer:
@@ -405,10 +434,13 @@ def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
             small = ids.astype("<u2")
             others = np.flatnonzero(~there)
             cut = np.searchsorted(others, np.append(firsts, len(words)))
-            counted = [Counter(words[k] for k in others[i:j].tolist()) for i, j in zip(cut[:-1], cut[1:])]
+            odd = [words[k] for k in others.tolist()]
+            counted = [Counter(odd[i:j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            rare = pa.StructArray.from_arrays([pa.array([w for c in counted for w in c], pa.string()), pa.array([n for c in counted for n in c.values()], pa.int64())], fields=list(item))
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counted)]), pa.int32()), rare)
             columns = [*b.columns[:-1], pa.array(range(uid, uid + len(sizes)), pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(np.add.reduceat(there, firsts, dtype=np.int64)), pa.array(np.add.reduceat(own, firsts)), pa.array(np.add.reduceat(inner, firsts))]
-            columns += [pa.array([small[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()), pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in counted], pa.list_(item))]
+            columns += [pa.array([small[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()), rare]
             yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in kept] + ["uid", "n_tokens", "n_known", "base", "inner", "ids", "rare"])
             uid += len(sizes)
 
