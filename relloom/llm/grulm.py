@@ -8,7 +8,8 @@ being for all unknown tokens. So the probabilities of all tokens sum to 1 for an
 
 Training: the network starts as the unigram model, is warmed up on the driver with a bounded, hash-chosen sample (FIT_DOCS rows
 of at most FIT_TOKENS tokens each), and is then trained by every partition on all its training documents, whatever their
-lengths (truncated backpropagation; a gradient in every window, the state carried from one to the next). The
+lengths (truncated backpropagation; a gradient in every window, the state carried from one to the next). A step's rate goes
+with its share of a full step's tokens, so that the tail of a few long documents doesn't pull the weights its way. The
 partitions' weights are averaged by tokens in a tree. Scoring carries the state through each whole document, window after
 window, many documents side by side. Texts are cut into words twice: to count them, and to write each document's ids, from
 which the network learns and scores.
@@ -39,8 +40,8 @@ CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 5
 VOCABULARY = CLASSES * SIZE
 #: Tokens whose counts are broadcast; documents of the driver's sample and tokens of each at most; epochs over it.
 KNOWN, FIT_DOCS, FIT_TOKENS, WARM = 200_000, 400, 20_000, 3
-#: Learning rates of the warm-up and of the pass.
-WARM_RATE, RATE = 0.01, 0.002
+#: Learning rates of the warm-up and of the pass; full steps after which the latter's is 1 / sqrt(2) of what it was.
+WARM_RATE, RATE, HALVING = 0.01, 0.004, 200
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
 GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 4
 END = ""
@@ -270,7 +271,7 @@ class Trainer:
     """Adam with clipped gradients; all weights lie in one array, of which ``p`` holds views."""
 
     def __init__(self, p: dict, rate: float):
-        self.p, self.rate, self.steps = p, rate, 0
+        self.p, self.rate, self.steps, self.work, self.full = p, rate, 0, 0.0, 0
         self.flat = np.concatenate([p[k].ravel() for k in sorted(p)])
         self.first, self.second, self.slope, self.spare = (np.zeros_like(self.flat) for _ in range(4))
         self.slopes, at = {}, 0
@@ -284,12 +285,14 @@ class Trainer:
         return self.slopes
 
     def step(self, grads: dict, tokens: int) -> None:
-        """One step along ``grads``, which are those that ``grads()`` gave."""
+        """One step along ``grads``, which are those that ``grads()`` gave, as far as its share of a full step's tokens."""
         self.steps += 1
+        share = tokens / (self.full or tokens)
+        self.work += share
         g, spare = self.slope, self.spare
         size = float(np.sqrt(g @ g)) / tokens
         g *= min(1.0, 1.0 / (size + 1e-12)) / tokens
-        rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        rate = self.rate * share * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         np.multiply(g, g, out=spare)
         spare *= 0.01
         self.second *= 0.99
@@ -310,6 +313,8 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
     Documents are dealt to lanes, longest first to the shortest lane; lanes are ordered so that those still busy come first.
     Scoring goes through a window in shorter spans, which changes no result and keeps its numbers in the processor's cache.
     """
+    if trainer:
+        trainer.full = lanes * WINDOW
     lanes = max(1, min(lanes, len(docs)))
     heap = [(0, k) for k in range(lanes)]
     heapify(heap)
@@ -489,8 +494,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
     sample = docs.where(F.col("n_tokens") <= FIT_TOKENS).select(F.shiftrightunsigned(rank, 2).alias("rank"), "ids").where(F.col("rank") <= share)
     warm = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in sample.orderBy("rank", "ids").limit(FIT_DOCS).collect()]
     trainer = Trainer(p, WARM_RATE)
-    for epoch in range(WARM if warm else 0):  # without a sample, all is left to the pass
-        trainer.rate = WARM_RATE / (1 + epoch)
+    for _ in range(WARM if warm else 0):  # without a sample, all is left to the pass
         run(p, warm, 32, trainer)
     shared = spark.sparkContext.broadcast((vocab, packed(p)))
     schema = pa.schema([("weight", pa.float64()), ("model", pa.binary())])
@@ -500,6 +504,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, training: int) -> dict:
         local = unpacked(data, p_like(mine))
         trainer, seen = Trainer(local, RATE), 0
         for _, part in gathered(batches, 0):
+            trainer.rate = RATE / (1 + trainer.work / HALVING) ** 0.5
             run(local, part, LANES, trainer)
             seen += sum(map(len, part))
         if seen:

@@ -93,6 +93,17 @@ def test_scores_match_a_loop_over_tokens(vocab):
     assert np.allclose(grulm.run(p, ids, grulm.WIDE), [slowly(p, vocab, t) for t in texts], rtol=1e-4)
 
 
+def test_weights_of_a_small_step_move_by_its_share(vocab):
+    """The tail of one long document, alone in its lane, doesn't train as fast as full steps do."""
+    whole, part = ({k: v.copy() for k, v in grulm.start(vocab).items()} for _ in range(2))
+    moved = []
+    for p, docs in ((whole, [np.arange(32)] * 4), (part, [np.arange(32)])):
+        before = p["cb"].copy()
+        grulm.run(p, docs, 4, grulm.Trainer(p, 0.01))
+        moved.append(np.abs(p["cb"] - before).max())
+    assert moved[1] == pytest.approx(moved[0] / 4, rel=0.1)
+
+
 def test_training_lowers_the_loss(vocab):
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(0, 30, 3), 40) for _ in range(40)]
