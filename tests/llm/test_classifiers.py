@@ -1,6 +1,8 @@
 """Quality, language and toxicity: held-out accuracy on made corpora, defined results for odd rows."""
 
+import collections
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -91,13 +93,69 @@ def test_languages(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.predict(docs(odd), nothing).collect()} == {"und"}
 
 
-def test_out_of_place_distance_by_hand():
-    profiles = langid.Profiles({"x": ["a", "b"], "y": ["b", "c"]})
-    ranks = {name: {g: int(profiles.ranks[profiles.slots[g], j]) for g in "abc"} for j, name in enumerate(profiles.names)}
-    assert ranks == {"x": {"a": 0, "b": 1, "c": langid.RANKS}, "y": {"a": langid.RANKS, "b": 0, "c": 1}}
-    assert profiles.judge(["a a a", "c", "1"]) [0][0] == "x" and profiles.judge(["1", None]) == [("und", 0.0)] * 2
-    profiles.learn(["l'eau,", "--"])
-    assert len(profiles.cache["l'eau,"]) == len(langid.grams("l") + langid.grams("eau")) and not len(profiles.cache["--"])
+def plain_order(text):
+    """A document's n-grams in order, by the definition: letters are what Unicode calls letters."""
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    counts = collections.Counter(g for w in words for g in langid.grams(w))
+    return sorted(counts, key=lambda g: (-counts[g], [0] * (3 - len(g)) + [ord(c) for c in g]))[: langid.RANKS]
+
+
+def test_distance_matches_the_plain_definition():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzéüñßжщ日本語ʻªdž"
+    text = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) + rng.choice(["", ",", "½", "7", "-x", "\u0301"]) for _ in range(n))
+    texts = [text(n) for n in (1, 2, 5, 40, 400, 3000, 20000)]
+    ranked = {name: plain_order(text(800)) for name in ("x", "y", "z")}
+    profiles = langid.Profiles(ranked)
+    for t, (name, score, fit, many) in zip(texts, profiles.judge(texts)):
+        own = plain_order(t)
+        apart = {x: sum(abs(k - p.index(g)) if g in p else langid.RANKS for k, g in enumerate(own)) for x, p in ranked.items()}
+        first, second = sorted(apart.values())[:2]
+        assert many == len(own) and apart[name] == first and name == min(x for x in apart if apart[x] == first)
+        assert score == pytest.approx(1 - first / (first + second)) and fit == pytest.approx(1 - first / (langid.RANKS * len(own)))
+    assert [x[0] for x in profiles.judge(texts)] == [x[0] for x in profiles.judge(texts[::-1])][::-1]  # the cache changes nothing
+
+
+def test_only_letters_count():
+    """Of every Unicode category, only letters make a text one that has a language."""
+    profiles = langid.Profiles({"x": ["a", "_a"], "y": ["b"]})
+    some = collections.defaultdict(list)
+    for k in range(0x110000):
+        if not 0xD800 <= k < 0xE000:
+            some[unicodedata.category(chr(k))].append(chr(k))
+    for category, chars in some.items():
+        found = profiles.judge([f" {c} 12 {c}" for c in chars[:300]])
+        assert {x[0] != "und" for x in found} == {category[0] == "L"}, category
+        if category[0] != "L":
+            assert {x[1] for x in found} == {0.0}
+    assert profiles.judge(["½", "①", "²", "Ⅷ", "७ ½", "", None]) == [("und", 0.0, 0.0, 0)] * 7
+
+
+def test_profiles_are_learned_from_a_bounded_sample(spark, docs, monkeypatch):
+    """Copies count once, and no more different texts than FIT_DOCS are read, whatever their lengths."""
+    monkeypatch.setattr(langid, "FIT_DOCS", 20)
+    trained = [i for i in range(600) if not held_id(i, 4, 2)]
+    rows = [(i, "copy of one text") for i in trained[:200]] + [(i, f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} " * (30000 if i % 50 == 0 else 3)) for i in trained[200:]]
+    lang = {i: "aa" for i, _ in rows}
+    found = langid.sample(docs(rows, lang), 4, 2).collect()
+    assert len(found) == len({r["text"] for r in found}) == 20
+    texts = [t for t in {t for _, t in rows}]
+    ranked = plain_order(" ".join(r["text"] for r in found))
+    assert langid.train(docs(rows, lang)).keys.tolist() == sorted(map(langid.packed, ranked)) and len(texts) > 20
+
+
+def test_texts_in_no_learned_language_go(spark, docs):
+    rng = random.Random(3)
+    parts = {"aa": ["ka", "ru", "mi", "to"], "bb": ["sch", "ein", "ung", "ber"]}
+    rows = [(i, sentence(rng, parts["aa" if i % 2 else "bb"], 40)) for i in range(200)]
+    profiles = langid.train(docs(rows, {i: "aa" if i % 2 else "bb" for i, _ in rows}))
+    strange = [(300, sentence(rng, ["жи", "щу", "ры", "бо", "кл", "эх"], 200)), (301, sentence(rng, ["日", "本", "語", "学", "校", "東", "京"], 200)), (302, "жи"), (303, "12 ½")]
+    kept = lambda **more: {r["doc_id"] for r in langid.keep(docs(rows + strange), profiles, **more).collect()}
+    assert kept() == {i for i, _ in rows} | {302}
+    assert kept(languages=["aa"]) <= {i for i, _ in rows if i % 2} | {302} and len(kept(languages=["aa"])) >= 98
+    nothing = langid.Profiles({})
+    assert {r["doc_id"] for r in langid.keep(docs(rows + strange), nothing).collect()} == {i for i, _ in rows} | {300, 301, 302}
+    assert langid.keep(docs(rows).limit(0), profiles).count() == 0
 
 
 def test_toxicity_held_out_and_passages(spark, docs, labels, corpus, odd):
