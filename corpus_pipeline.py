@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's ``docs``.
 All but the last return whole rows of ``documents``, so whatever columns it has go through; rows with null id stay unless a
-stage rejects their text, and of rows that share an id one stays after the near-duplicate stage.
+stage rejects their text, and of rows that share an id one of each set of shingles stays after the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relloom.llm import bpe, decontam, langid, neardup, quality
-from relloom.llm.common import materialize
+from relloom.llm.common import drop_table, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter at all) go."""
+    """Documents that are in no learned language go: those without a letter, and those that no profile fits (see ``langid.keep``)."""
     return langid.keep(docs, langid.train(docs))
 
 
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if k:
+            drop_table(before)
     return docs

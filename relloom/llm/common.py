@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import threading
 import uuid
 import zlib
 
@@ -32,28 +35,86 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system: workers stay alive between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` over Arrow batches of ``df``, in batches of bounded size."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+class _Written(threading.local):
+    """The tables that ``materialize`` has written inside each open ``scratch``."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_written = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set, as in tests."""
+    """A new folder under the cluster's shared checkpoint folder; it goes when the application ends.
+
+    Where no such folder is set, a session on one machine (as in tests) uses a temporary one; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/relloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/relloom-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/relloom-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.mode("append").parquet(path)
+    if _written.open:
+        _written.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch(make):
+    """A function that returns a DataFrame, so that the tables it has written go unless its result still reads them.
+
+    What the result reads stays until the application ends: nobody can tell when it has been read for the last time.
+    """
+
+    def run(df: DataFrame, *args, **more) -> DataFrame:
+        _written.open.append([])
+        try:
+            out = make(df, *args, **more)
+        finally:
+            paths = _written.open.pop()
+        read = {f.rpartition("/")[0].rpartition("/")[2] for f in out.inputFiles()}
+        for path in paths:
+            if path.rpartition("/")[2] not in read:
+                remove(df.sparkSession, path)
+            elif _written.open:
+                _written.open[-1].append(path)
+        return out
+
+    run.__name__, run.__doc__ = make.__name__, make.__doc__
+    return run
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Spark's own file system layer."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,7 +122,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote."""
+    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         remove(df.sparkSession, path)
 
@@ -94,8 +155,9 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, per_class: int, max_chars: int) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of at most ``per_class`` training documents of each label 0 and 1, taken in hash order.
 
-    Only this bounded sample reaches the driver. Ids are chosen from the narrow label table alone; texts longer than
-    ``max_chars`` are left out of fitting (never out of scoring). A document with several labels counts as 1.
+    Only this bounded sample reaches the driver: one text for each chosen id, of several the one with the smallest hash. Ids
+    are chosen from the narrow label table alone; texts longer than ``max_chars`` are left out of fitting (never out of
+    scoring). A document with several labels counts as 1.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -106,8 +168,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
         return []
     wanted = spark.createDataFrame(chosen, "doc_id long, label int")  # at most 2 * per_class rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(wanted), "doc_id").collect()
-    return sorted({(r["doc_id"], r["text"], r["label"]) for r in rows})
+    rows = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows.select("doc_id", "label", "first.text").collect())
 
 
 class WordRows(dict):

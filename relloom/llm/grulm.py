@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, held, map_batches, materialize
+from .common import Cache, batch, held, map_batches, materialize, scratch
 
 #: Vocabulary classes and their size; classes of the other tokens; state; window; lanes side by side when training and scoring.
 CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 512
@@ -533,6 +533,7 @@ def p_like(vocab: Vocabulary) -> dict:
     return {k: np.zeros(shape, np.float32) for k, shape in shapes.items()}
 
 
+@scratch
 def scores(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held("doc_id", mod, rest).alias("held_out"), F.col("text").cast("string").alias("text"))

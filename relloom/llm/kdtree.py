@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 
 SCALE, K, EVERY = 256, 5, 50
 #: Rows of a shard and of a leaf; queries of a block.
@@ -106,6 +106,7 @@ def groups(ids: np.ndarray, vectors: list[np.ndarray]):
         yield n, np.array(mine, np.int64), [seen[i] for i in mine]
 
 
+@scratch
 def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, shard_rows: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession

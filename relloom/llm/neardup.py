@@ -27,10 +27,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, batch, map_batches, materialize
+from .common import Cache, batch, map_batches, materialize, scratch
 
 WORDS, PERCENT = 5, 85
 #: Hashes of a signature, hashes compared at a time, chance of dropping a pair that reaches the threshold, by posterior and by bands.
@@ -360,6 +360,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed(docs, percent).drop("sets")
 
 
+@scratch
 def placed(docs: DataFrame, percent: int) -> DataFrame:
     """What ``components`` gives, with the hash of each row's set."""
     found = materialize(features(docs))
@@ -397,10 +398,13 @@ def with_sets(docs: DataFrame, name: str) -> DataFrame:
     return map_batches(wide, run, docs.withColumn(name, F.lit(None).cast("binary")).schema)
 
 
+@scratch
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Whole rows of one document of each component: the one with the smallest id, once; rows with null id are left alone.
 
-    An id whose rows have different sets can be in several components; its rows are then told apart by their sets.
+    An id whose rows have different sets can be in several components; its rows are then told apart by their sets, and each
+    set stays once that isn't a copy of a smaller id's. Of rows with the same id and set the one whose text has the smallest
+    hash stays.
     """
     found = materialize(placed(docs, percent).where("doc_id is not null").select("doc_id", "sets", "kept"))
     key = docs["doc_id"].cast("long")
@@ -419,5 +423,7 @@ def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = with_sets(rows.join(twice, key == twice["relloom_id"], "left_semi"), "relloom_sets")
     stay = found.where("kept").select(F.col("doc_id").alias("relloom_id"), F.col("sets").alias("relloom_kept")).distinct()
     same = (again["doc_id"].cast("long") == stay["relloom_id"]) & again["relloom_sets"].eqNullSafe(stay["relloom_kept"])
-    again = again.join(stay, same, "left_semi").drop("relloom_sets").dropDuplicates(["doc_id"])
+    again = again.join(stay, same, "left_semi")
+    first = F.row_number().over(Window.partitionBy(again["doc_id"].cast("long"), again["relloom_sets"]).orderBy(F.xxhash64("text")))
+    again = again.withColumn("relloom_row", first).where("relloom_row = 1").drop("relloom_sets", "relloom_row")
     return rows.join(twice, key == twice["relloom_id"], "left_anti").union(again)

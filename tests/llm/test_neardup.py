@@ -1,11 +1,12 @@
 """Near-duplicates against brute force on full sets."""
 
+import pathlib
 import random
 import re
 
 import numpy as np
 
-from relloom.llm import neardup
+from relloom.llm import common, neardup
 
 
 def brute(rows):
@@ -114,6 +115,26 @@ def test_keep_tells_rows_of_one_id_apart(spark, docs):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, one), (5, two), (7, "alone in here"), (8, "twice")])
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark, docs):
+    one, two = (" ".join(f"{a}{k}" for k in range(40)) for a in "vw")
+    kept = neardup.keep(docs([(5, one), (5, two), (5, two.upper()), (5, one)])).collect()
+    assert sorted(r["text"].lower() for r in kept) == [one, two]
+
+
+def test_scratch_tables_go(spark, docs, monkeypatch):
+    """After a run only tables that its result still reads are left."""
+    made = []
+    monkeypatch.setattr(neardup, "materialize", lambda df: made.append(df) or common.materialize(df))
+    text = " ".join(f"w{k}" for k in range(60))
+    out = neardup.components(docs([(1, text), (2, text + " more"), (3, "other words are in this one")]))
+    read = {f.rpartition("/")[0] for f in out.inputFiles()}
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert before == {1: 1, 2: 1, 3: 3} and len(made) > 8
+    left = {p.name for p in pathlib.Path(root).iterdir()} & {f.rpartition("/")[2] for f in read}
+    assert len(left) == len(read) <= 4
+
+
 def test_components_of_long_chains(spark):
     n = 200
     order = list(range(n))
