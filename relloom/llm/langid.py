@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Cache, batch, held, map_batches, materialize
 
-#: Documents of each language that are fitted; n-grams in a profile; words that a worker remembers; n-grams it counts at a time.
+#: Documents of each language that are fitted; n-grams in a profile; words that a worker remembers; different words it counts at a time.
 FIT_DOCS, RANKS, CACHED, COUNTED = 1_500, 400, 100_000, 200_000
 #: What ``keep`` asks of a text with at least SURE different n-grams: this share of the way from no n-gram in place to all.
 LEAST_FIT, SURE = 0.2, 100
@@ -165,22 +165,26 @@ def train(docs: DataFrame, mod: int = 4, rest: int = 2) -> Profiles:
     """Profiles from a sample of the rows of ``docs`` that have a language and aren't held out."""
     schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
-    def flush(counts: Counter):
-        rows = [(lang, g, n) for (lang, g), n in counts.items()]
-        for k in range(0, len(rows), 1 << 16):
-            yield batch(schema, **dict(zip(schema.names, map(list, zip(*rows[k : k + (1 << 16)])))))
+    def flush(words: dict[str, Counter]):
+        for lang, seen in words.items():
+            counts: Counter = Counter()
+            for word, n in seen.items():
+                for g in grams(word):
+                    counts[g] += n
+            shown = list(counts)
+            for k in range(0, len(shown), 1 << 16):
+                some = shown[k : k + (1 << 16)]
+                yield batch(schema, lang=[lang] * len(some), gram=some, n=[counts[g] for g in some])
 
     def count(batches):
-        counts: Counter = Counter()
+        words: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for word, n in Counter(words_of(text)).items():
-                    for g in grams(word):
-                        counts[lang, g] += n
-                if len(counts) > COUNTED:
-                    yield from flush(counts)
-                    counts = Counter()
-        yield from flush(counts)
+                words.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, words.values())) > COUNTED:
+                yield from flush(words)
+                words = {}
+        yield from flush(words)
 
     summed = map_batches(sample(docs, mod, rest), count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # by UTF-32 order, which for strings of code points is that of their UTF-8 bytes; only RANKS rows a language leave a task
