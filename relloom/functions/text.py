@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 #: Code points of each script, in the order that breaks ties.
 SCRIPTS = {
     "cjk": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}",
-    "latin": r"A-Za-z\x{00C0}-\x{024F}",
+    "latin": r"A-Za-z",
     "hangul": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}",
     "kana": r"\x{3040}-\x{309F}\x{30A0}-\x{30FF}",
 }
 #: The judge's score fields.
-SCORE_FIELDS = ("relevance", "faithfulness", "completeness", "conciseness", "clarity", "overall")
+SCORE_FIELDS = ("contribution_accuracy", "contribution_coverage", "evidence_faithfulness", "evidence_self_contained", "evidence_concision", "overall")
 
 
 def _column(x) -> Column:
@@ -71,6 +71,12 @@ def judge_scores(text, fields: tuple[str, ...] = SCORE_FIELDS) -> Column:
     return F.get(scores, F.lit(0))
 
 
+def judge_reason(text) -> Column:
+    """The stripped body of the reason element; null if there is none."""
+    whole = r"(?s)<reason>(.*?)</reason>"
+    return F.when(_column(text).rlike(whole), strip(F.regexp_extract(_column(text), whole, 1)))
+
+
 def script_count(text, script: str) -> Column:
     """Characters of a script."""
     return F.length(F.regexp_replace(_column(text), f"[^{SCRIPTS[script]}]", ""))
@@ -78,29 +84,30 @@ def script_count(text, script: str) -> Column:
 
 def dominant_script(text) -> Column:
     """The script with most characters, ties in the order of SCRIPTS; 'unknown' without any."""
-    counts = {s: script_count(text, s) for s in SCRIPTS}
-    most = F.greatest(*counts.values())
-    found = F.when(most == 0, "unknown")
-    for script, n in counts.items():
-        found = found.when(n == most, script)
-    return found.otherwise("unknown")
+    # bound by a one-element array, so that each script is counted once
+    counts, names = F.array(*[F.coalesce(script_count(text, s), F.lit(0)) for s in SCRIPTS]), F.array(*map(F.lit, SCRIPTS))
+    first = lambda n: F.get(names, (F.array_position(n, F.array_max(n)) - 1).cast("int"))
+    return F.get(F.transform(F.array(counts), lambda n: F.when(F.array_max(n) == 0, F.lit("unknown")).otherwise(first(n))), F.lit(0))
 
 
 def same_script(left, right) -> Column:
-    """True where the dominant scripts agree or one is unknown."""
-    a, b = dominant_script(left), dominant_script(right)
+    """True where the dominant scripts agree or one is unknown; tags in the second text don't count."""
+    a, b = dominant_script(left), dominant_script(without_tags(right))
     return (a == b) | (a == "unknown") | (b == "unknown")
 
 
 def language(text, latin: Column | None = None) -> Column:
-    """A language name from the script rules; ``latin`` decides for Latin text, English by default."""
-    n = {s: script_count(text, s) for s in SCRIPTS}
+    """A language name from the script rules; ``latin`` decides for Latin text, English by default.
+
+    Text without a counted character is Chinese; kana or Hangul must be more than a twentieth of all counted characters.
+    """
+    n = {s: F.coalesce(script_count(text, s), F.lit(0)) for s in SCRIPTS}
     asian = n["cjk"] + n["kana"] + n["hangul"]
-    empty = F.coalesce(strip(text), F.lit("")) == ""
+    every = asian + n["latin"]
     return (
-        F.when(empty, "Chinese")
-        .when((asian > n["latin"]) & (n["kana"] > 0.05 * asian), "Japanese")
-        .when((asian > n["latin"]) & (n["hangul"] > 0.05 * asian), "Korean")
+        F.when(every == 0, "Chinese")
+        .when((asian > n["latin"]) & (n["kana"] / every > 0.05), "Japanese")
+        .when((asian > n["latin"]) & (n["hangul"] / every > 0.05), "Korean")
         .when(asian > n["latin"], "Chinese")
         .otherwise(F.coalesce(latin, F.lit("English")) if latin is not None else F.lit("English"))
     )
@@ -130,9 +137,9 @@ def token_count(text) -> Column:
 
 
 def truncated(text, most: int) -> Column:
-    """The text itself if it has at most ``most`` tokens, else its first tokens joined by spaces."""
-    found = tokens(text)
-    return F.when(F.size(found) <= most, _column(text)).otherwise(F.array_join(F.slice(found, 1, most), " "))
+    """The text itself if it has at most ``most`` tokens, else what stands up to the end of the last one that is kept."""
+    pieces = F.regexp_extract_all(_column(text), F.lit(r"(\s*(?:\w+|[^\w\s]))"), 1)  # tokens with the space before them
+    return F.when(F.size(pieces) <= most, _column(text)).otherwise(F.array_join(F.slice(pieces, 1, most), ""))
 
 
 def estimated_tokens(chars, least: int = 100) -> Column:
@@ -140,11 +147,10 @@ def estimated_tokens(chars, least: int = 100) -> Column:
 
 
 def unquoted(text) -> Column:
-    """Without one pair of double and then one pair of single quotes; 'none' in any case becomes empty."""
+    """Without one pair of double and then one pair of single quotes, stripped after each; 'none' in any case becomes empty."""
     out = strip(text)
     for quote in ('"', "'"):
-        out = F.when((F.length(out) >= 2) & out.startswith(quote) & out.endswith(quote), F.regexp_replace(out, f"^{quote}|{quote}$", "")).otherwise(out)
-    out = strip(out)
+        out = F.when(out.startswith(quote) & out.endswith(quote), strip(F.regexp_replace(out, f"^{quote}|{quote}$", ""))).otherwise(out)
     return F.when(F.lower(out) == "none", "").otherwise(out)
 
 
@@ -179,6 +185,30 @@ def safe_name(name) -> Column:
     return F.replace(F.replace(F.replace(_column(name), F.lit("/"), F.lit("__")), F.lit(":"), F.lit("_")), F.lit(" "), F.lit("_"))
 
 
+def cut_query(query, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.substring(_column(query), 1, most)
+
+
+def instructed(query, model: str, instruction: str, models: tuple[str, ...]) -> Column:
+    """The query behind an instruction, for the models that want one."""
+    return F.concat(F.lit(instruction), _column(query)) if model in models else _column(query)
+
+
+#: Words of an error that tell of a quota, and of its end; names of errors that tell of both.
+QUOTA_WORDS = ("usage limit", "quota", "credits", "credit balance")
+ENDED_WORDS = ("exceeded", "exhausted", "depleted", "limit")
+QUOTA_ERRORS = ("UsageLimitExceededError", "ExaUsageLimitError")
+
+
+def quota_error(message, name=None) -> Column:
+    """True where an error says that a quota is used up, by its type's name or by its words."""
+    low = F.lower(F.coalesce(_column(message), F.lit("")))
+    anyone = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    told = anyone(QUOTA_WORDS) & anyone(ENDED_WORDS)
+    return told if name is None else told | F.coalesce(_column(name).isin(*QUOTA_ERRORS), F.lit(False))
+
+
 def title_text(title, text) -> Column:
     """'title text' where there is a title, else the text; null text is empty."""
     head = strip(F.coalesce(_column(title), F.lit("")))

@@ -6,12 +6,14 @@ Candidates are in long form (dataset, model, query_id, pos, score, relevance), s
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import paired_filter
 from ..functions.metrics import gain, ndcg
+from ..session import exists
 
 
 def ndcg_by_query(rows: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
@@ -71,3 +73,26 @@ def samples_of(rows: DataFrame, negatives: int, seed: str) -> DataFrame:
     rows = rows.select("idx", "query", "pos_list", chosen.alias("neg"))
     grades = F.concat(F.transform("pos_list", lambda x: F.lit(1.0)), F.transform("neg", lambda x: F.lit(0.0)))
     return rows.select("idx", "query", F.concat("pos_list", "neg").alias("documents"), grades.alias("relevance"))
+
+
+def rank_means(df: DataFrame, weighted: dict[str, str]) -> DataFrame:
+    """One row: for each sum of a rank's losses, all ranks' sums over all their counts (at least one); 0 without any rows."""
+    return df.agg(*[F.coalesce(F.sum(total) / F.greatest(F.sum(count).cast("double"), F.lit(1.0)), F.lit(0.0)).alias(total) for total, count in weighted.items()])
+
+
+def run_over(spark, folder: str, names: list[str], read, scorer, cache: str, model: str, k: int = 10) -> DataFrame:
+    """dataset, n, ndcg of each dataset and of all (the mean of the datasets' means, dataset null), with a cache for each.
+
+    read: (path) to idx, query, documents, relevance; scorer as for ``evaluate``. Rows that a cache has aren't scored again.
+    """
+    if not names:
+        raise FileNotFoundError(f"no dataset in {folder}")
+    means = []
+    for name in names:
+        path = f"{cache}/{model}/{name}"
+        done = spark.read.parquet(path) if exists(spark, path) else None
+        fresh = evaluate(read(f"{folder}/{name}.jsonl"), done.select("idx") if done is not None else None, scorer, k)
+        fresh.select("idx", "ndcg").write.mode("append").parquet(path)
+        means.append(spark.read.parquet(path).groupBy("idx").agg(F.max("ndcg").alias("ndcg")).agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")))
+    every = reduce(DataFrame.unionByName, means)
+    return every.union(every.agg(F.lit(None).cast("string"), F.sum("n"), F.avg("ndcg")))

@@ -65,3 +65,18 @@ def reuse(df: DataFrame, one: str, two: str) -> DataFrame:
     """Rows, distinct values of two columns and the rows for each distinct value."""
     out = df.agg(F.count("*").alias("n"), F.countDistinct(one).alias("n_one"), F.countDistinct(two).alias("n_two"))
     return out.select("*", F.try_divide("n", "n_one").alias("per_one"), F.try_divide("n", "n_two").alias("per_two"))
+
+
+#: The percentiles of the length report.
+LENGTH_PERCENTS = (25, 50, 75, 90, 91, 92, 93, 94, 95, 96, 97, 98, 99)
+
+
+def lengths(df: DataFrame, texts: dict[str, str], size) -> DataFrame:
+    """field, n, mean, least, most and the interpolated percentiles of the sizes of each field's texts; a field may be an array."""
+    kinds = dict(df.dtypes)
+    as_array = lambda c: F.col(c) if kinds[c].startswith("array") else F.array(F.col(c))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), as_array(c).alias("texts")) for name, c in texts.items()]))
+    rows = df.select(each.alias("x")).select("x.field", F.explode("x.texts").alias("text")).where("text is not null").select("field", size("text").alias("size"))
+    at = F.percentile("size", F.array(*[F.lit(p / 100) for p in LENGTH_PERCENTS]))
+    rows = rows.groupBy("field").agg(F.count("*").alias("n"), F.avg("size").alias("mean"), F.min("size").alias("least"), F.max("size").alias("most"), at.alias("at"))
+    return rows.select("field", "n", "mean", "least", "most", *[F.get("at", F.lit(i)).alias(f"p{p}") for i, p in enumerate(LENGTH_PERCENTS)])

@@ -19,10 +19,17 @@ def bernoulli(df: DataFrame, key: str | Column, share: float, seed: str) -> Data
     return df.where(hash01(seed, key) < share)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which null keys meet; the left side's keys stay."""
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(right.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, how).drop(*(f"_of_{k}" for k in keys))
+
+
 def first_of_groups(df: DataFrame, groups: list[str], key: str, seed: str, caps: DataFrame | int) -> DataFrame:
     """At most ``cap`` rows of each group, first in the order of (hash, key).
 
-    ``caps`` holds the groups' columns and ``cap``; a group that it lacks is kept whole. Rows' columns are unchanged.
+    ``caps`` holds the groups' columns and ``cap``; a group that it lacks is kept whole. Null is a group like others. Rows'
+    columns are unchanged.
     """
     names = df.columns
     tagged = df.withColumn("_h", seeded(seed, key)).withColumn("_bin", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
@@ -31,13 +38,13 @@ def first_of_groups(df: DataFrame, groups: list[str], key: str, seed: str, caps:
     if isinstance(caps, int):
         counts = counts.withColumn("cap", F.lit(caps))
     else:
-        counts = counts.join(caps, groups) if groups else counts.crossJoin(F.broadcast(caps.limit(1)))
+        counts = null_safe(counts, caps, groups, "inner") if groups else counts.crossJoin(F.broadcast(caps.limit(1)))
     cut = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
     # the bin that the cut runs through, and how many of its rows are left; a group below its cap has none
     cut = cut.where((F.col("_before") <= F.col("cap")) & (F.col("_before") + F.col("_n") > F.col("cap")))
     cut = cut.groupBy(*groups).agg(F.min("_bin").alias("_cut"), F.min_by(F.col("cap") - F.col("_before"), "_bin").alias("_left"))
     if groups:
-        joined = tagged.join(cut, groups, "left")
+        joined = null_safe(tagged, cut, groups, "left")
     else:
         joined = tagged.join(F.broadcast(cut), F.lit(True), "left")
     whole = joined.where(F.col("_cut").isNull() | (F.col("_bin") < F.col("_cut")))
@@ -143,3 +150,16 @@ def allocated(df: DataFrame, order: str, slots: int, cap: int) -> DataFrame:
     """Rows dealt round robin to ``slots`` in the order of a dense number from 0; beyond ``cap`` rows a slot: null."""
     slot = F.pmod(F.col(order), F.lit(slots))
     return df.withColumn("slot", F.when(F.floor(F.col(order) / slots) < cap, slot))
+
+
+def length_batches(df: DataFrame, length: Column, key: str, size: int, seed: str = "length") -> DataFrame:
+    """Rows with ``position`` in the order of length (ties in hash order) and ``batch``, so that a batch's texts are alike in length.
+
+    Positions come from counts: by length and hash bin, then within one such group; no task sorts all rows.
+    """
+    rows = df.withColumn("_n", length.cast("long")).withColumn("_h", seeded(seed, key)).withColumn("_bin", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    counts = rows.groupBy("_n", "_bin").agg(F.count("*").alias("_many"))
+    counts = counts.withColumn("_before", F.sum("_many").over(Window.orderBy("_n", "_bin")) - F.col("_many")).drop("_many")  # a row for each length and bin
+    within = F.row_number().over(Window.partitionBy("_n", "_bin").orderBy("_h", key)) - 1
+    placed = null_safe(rows.withColumn("_k", within), counts, ["_n", "_bin"], "inner")
+    return placed.withColumn("position", F.col("_before") + F.col("_k")).withColumn("batch", F.floor(F.col("position") / size)).drop("_n", "_h", "_bin", "_before", "_k")

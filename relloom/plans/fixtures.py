@@ -136,7 +136,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "annotated_label", F.concat(first, parts).alias("pred_text"), judge.alias("judge_text"))
 
 
-FIELDS = ("relevance", "faithfulness", "completeness", "conciseness", "clarity", "overall")
+FIELDS = ("contribution_accuracy", "contribution_coverage", "evidence_faithfulness", "evidence_self_contained", "evidence_concision", "overall")
 _SCORES = [f"'<{f}>' || (floor({h(f'f{i}', 'doc_id')} * 5) + 1)::BIGINT || '</{f}>'" for i, f in enumerate(FIELDS)]
 PREDICTIONS = MAJORITY + f""",
 predictions AS (
@@ -182,3 +182,34 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEARCH = """search AS (
     SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', '', 'g') AS content, html AS raw_content FROM pages)"""
+
+
+def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: whole texts, and beside them others of mixed scripts, on both sides of the rules' bounds."""
+    n, text = F.col("n_chars").cast("int"), F.coalesce(F.col("text"), F.lit(""))
+    some = lambda c, k: F.repeat(F.lit(c), k)
+    kinds = [text, F.concat(text, some("\u6f22", n)), F.concat(some("\u6f22", F.lit(95)), some("\u304b", F.col("doc_id").cast("int") % 10)), F.concat(some("\ud55c", n % 80), some("\u6f22", F.lit(60)), some("x", F.lit(50))), F.lit("12 34 \u0416\u0436"), F.lit(" "), F.concat(some("\u00e9\u00fc\u00f1", n), some("\u6f22", F.lit(1))), F.concat(some("\u304b", F.lit(4)), some("\u6f22", F.lit(60)), some("y", F.lit(50)))]
+    found = text
+    for k, x in enumerate(kinds):
+        found = F.when(F.col("doc_id") % len(kinds) == k, x).otherwise(found)
+    return documents(spark, sf_dir).select("doc_id", found.alias("text"))
+
+
+SCRIPTED = """scripted AS (
+    SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN coalesce(text, '') || repeat('\u6f22', n_chars) WHEN 2 THEN repeat('\u6f22', 95) || repeat('\u304b', doc_id % 10)
+        WHEN 3 THEN repeat('\ud55c', n_chars % 80) || repeat('\u6f22', 60) || repeat('x', 50) WHEN 4 THEN '12 34 \u0416\u0436' WHEN 5 THEN ' '
+        WHEN 6 THEN repeat('\u00e9\u00fc\u00f1', n_chars) || '\u6f22' ELSE repeat('\u304b', 4) || repeat('\u6f22', 60) || repeat('y', 50) END AS text FROM documents)"""
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bucket, extra: pages in dozens as one of three providers' responses; some have an answer, some no list of results."""
+    rows = search(spark, sf_dir).withColumn("bucket", (F.col("page_id") / 12).cast("long"))
+    kind = "array<struct<page_id:bigint,title:string,content:string,raw_content:string>>"
+    lists = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("page_id", "title", "content", "raw_content"))).cast(kind).alias("x"))
+    way, x = F.col("bucket") % 4, F.col("x")
+    of = lambda *names: F.transform(x, lambda r: F.struct(*[r[a].alias(b) for a, b in names]))
+    first = F.when(F.col("bucket") % 8 == 0, F.concat(F.lit(" A "), F.get(x, F.lit(0))["title"], F.lit(" "))).otherwise(F.lit(" "))
+    tavily = F.struct(first.alias("answer"), of(("title", "title"), ("content", "content"), ("raw_content", "raw_content")).alias("results"))
+    exa = F.struct(F.when(way == 2, of(("title", "title"), ("content", "text"))).alias("results"))
+    zhipu = of(("title", "title"), ("content", "content"))
+    return lists.select("bucket", F.struct(F.when(way == 0, tavily).alias("original_tavily_result"), F.when(way == 1, zhipu).alias("original_zhipu_result"), F.when(way >= 2, exa).alias("original_exa_result")).alias("extra"))

@@ -34,6 +34,12 @@ def per_source_cap(spark, sf):
     return sampling.first_of_groups(fx.documents(spark, sf), ["source"], "doc_id", "cap", 30).select("doc_id", "source")
 
 
+def per_source_cap_nulls(spark, sf):
+    """Rows without a source are a group with a cap of its own."""
+    rows = fx.documents(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("source"))
+    return sampling.first_of_groups(rows, ["source"], "doc_id", "cap", 30)
+
+
 def category_balance(spark, sf):
     rows = fx.documents(spark, sf).selectExpr("doc_id", "lang", "concat(source, '-', cast(floor(n_chars / 4000) as string)) cate")
     return sampling.balanced_categories(rows, "lang", "cate", "doc_id", ("en", "de")).select("doc_id", "lang", "cate")
@@ -50,8 +56,8 @@ def bernoulli_select(spark, sf):
 
 
 def interleave_plan(spark, sf):
-    n = table(spark, sf, "conversations").where("role = 'user'").count()
-    return sampling.interleaved(spark, 500, n, 0.3).select("pos", "use_sft", "local")
+    n = table(spark, sf, "conversations").agg(F.count_if(F.col("role") == "user").alias("sft"), F.count_if(F.col("role") != "user").alias("point")).first()
+    return sampling.interleaved(spark, n["point"], n["sft"], 0.3).select("pos", "use_sft", "local")
 
 
 def resume_antijoin(spark, sf):
@@ -61,7 +67,7 @@ def resume_antijoin(spark, sf):
 
 def heldout_pairs(spark, sf):
     rows = fx.pairs(spark, sf)
-    return assemble.heldout(rows, rows.where("conv_id % 2 = 0"), "query", 1000, "held").select("k")
+    return assemble.heldout(rows, rows.where("conv_id % 2 = 0"), "query", 100, "held", "k").select("k")
 
 
 def keywords_attach(spark, sf):
@@ -107,14 +113,19 @@ def key_allocation(spark, sf):
 
 
 def final_assembly(spark, sf):
-    """Evidence rows and distilled pairs to train and dev rows, by loss type."""
+    """Two corpora's evidence rows and distilled pairs to three sets: rows by set, loss type and query."""
     rows = fx.pairs(spark, sf)
-    evidence = rows.where("conv_id % 2 = 0").select("query", "document", revised("score").alias("revised_score"), F.when(hash01("ev", "k") < 0.5, "yes").otherwise("no").alias("annotated_label"))
-    train, dev = assemble.final_sets(evidence, rows.where("conv_id % 2 = 1").select("query", "document", "score"), 10)
-    return train.withColumn("part", F.lit("train")).unionByName(dev.withColumn("part", F.lit("dev"))).groupBy("part", "loss_type").agg(F.count("*").alias("n"))
+    both = F.concat_ws("\n", "query", "document")
+    evidence = rows.select("conv_id", "query", "document", revised(hash01("es", both)).alias("revised_score"), F.when(hash01("ev", both) < 0.5, "yes").otherwise("no").alias("annotated_label"))
+    distilled = rows.select("conv_id", "query", "document", "score")
+    # the corpora's shares differ, so the larger dev set is cut
+    parts = [(evidence.where(f"conv_id % 5 in {e}").drop("conv_id"), distilled.where(f"conv_id % 5 = {d}").drop("conv_id")) for e, d in (("(0, 1)", 2), ("(3)", 4))]
+    sets = assemble.final_sets(parts, 40)
+    every = [df.select(F.lit(name).alias("part"), "loss_type", "query", F.round("revised_score", 6).alias("revised_score")) for name, df in sets.items()]
+    return every[0].union(every[1]).union(every[2])
 
 
-QUERIES = {f.__name__: f for f in (revised_score, score_histogram, balanced_bucket_sample, source_ratio_sample, per_source_cap, category_balance, train_dev_split, bernoulli_select, interleave_plan, resume_antijoin, heldout_pairs, keywords_attach, substring_exclusion, quality_gate, row_hashes, duplicate_rows, prompt_render, key_allocation, final_assembly)}
+QUERIES = {f.__name__: f for f in (revised_score, score_histogram, balanced_bucket_sample, source_ratio_sample, per_source_cap, per_source_cap_nulls, category_balance, train_dev_split, bernoulli_select, interleave_plan, resume_antijoin, heldout_pairs, keywords_attach, substring_exclusion, quality_gate, row_hashes, duplicate_rows, prompt_render, key_allocation, final_assembly)}
 
 _FIRST = lambda seed, key, by: f"row_number() OVER (PARTITION BY {by} ORDER BY {md5(seed, key)}, {key})"
 
@@ -133,6 +144,7 @@ ORACLE_SQL = {
         r AS (SELECT *, {_FIRST('ratio', 'doc_id', 'kind')} AS k FROM t)
         SELECT doc_id, kind FROM r, w WHERE k <= CASE WHEN kind = 'posneg' THEN CASE WHEN NOT cut2 AND m1 <= n1 THEN m1 ELSE n1 END ELSE CASE WHEN cut2 THEN m2 ELSE n2 END END""",
     "per_source_cap": f"SELECT doc_id, source FROM (SELECT *, {_FIRST('cap', 'doc_id', 'source')} AS k FROM documents) WHERE k <= 30",
+    "per_source_cap_nulls": f"WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source END AS source FROM documents) SELECT doc_id, source FROM (SELECT *, {_FIRST('cap', 'doc_id', 'source')} AS k FROM t) WHERE k <= 30",
     "category_balance": f"""WITH t AS (SELECT doc_id, lang, concat(source, '-', floor(n_chars / 4000)::BIGINT) AS cate FROM documents WHERE lang IN ('en', 'de')),
         s AS (SELECT lang, cate, count(*) AS n FROM t GROUP BY ALL),
         p AS (SELECT lang, quantile_cont(n, 0.1) AS rare FROM s GROUP BY lang),
@@ -146,12 +158,12 @@ ORACLE_SQL = {
         SELECT doc_id, lang, cate FROM r JOIN d USING (lang, cate) WHERE i <= cap""",
     "train_dev_split": f"WITH {PAIRS}, q AS (SELECT DISTINCT query FROM pairs), dev AS (SELECT query FROM q ORDER BY {md5('dev', 'query')}, query LIMIT 25) SELECT k, CASE WHEN query IN (SELECT query FROM dev) THEN 'dev' ELSE 'train' END AS part FROM pairs",
     "bernoulli_select": f"WITH {PAIRS} SELECT k FROM pairs WHERE {h('sel', 'k')} < 0.4::DOUBLE AND len(list_filter(regexp_split_to_array(query, '[\\s\\x{{00A0}}\\x{{3000}}]+'), lambda x: x <> '')) <= 40",
-    "interleave_plan": f"""WITH n AS (SELECT count(*) AS sft FROM conversations WHERE role = 'user'),
-        l AS (SELECT greatest(ceil(500 / (1 - 0.3)::DOUBLE), ceil(sft / 0.3::DOUBLE))::BIGINT AS size, sft FROM n),
-        p AS (SELECT pos, {h('mix', 'pos')} < 0.3::DOUBLE AS use_sft, sft FROM l, LATERAL (SELECT unnest(range(size)) AS pos))
-        SELECT pos, use_sft, (row_number() OVER (PARTITION BY use_sft ORDER BY pos) - 1) % CASE WHEN use_sft THEN sft ELSE 500 END AS local FROM p""",
+    "interleave_plan": f"""WITH n AS (SELECT count(*) FILTER (role = 'user') AS sft, count(*) FILTER (role <> 'user') AS point FROM conversations),
+        l AS (SELECT greatest(ceil(point / (1 - 0.3)::DOUBLE), ceil(sft / 0.3::DOUBLE))::BIGINT AS size, sft, point FROM n),
+        p AS (SELECT pos, {h('mix', 'pos')} < 0.3::DOUBLE AS use_sft, sft, point FROM l, LATERAL (SELECT unnest(range(size)) AS pos))
+        SELECT pos, use_sft, (row_number() OVER (PARTITION BY use_sft ORDER BY pos) - 1) % CASE WHEN use_sft THEN sft ELSE point END AS local FROM p""",
     "resume_antijoin": "WITH t AS (SELECT doc_id, sha256(text) AS key FROM documents) SELECT doc_id, key FROM t WHERE key NOT IN (SELECT key FROM t WHERE doc_id % 3 = 0)",
-    "heldout_pairs": f"WITH {PAIRS} SELECT k FROM pairs WHERE query NOT IN (SELECT query FROM pairs WHERE conv_id % 2 = 0) ORDER BY {md5('held', 'query')}, query LIMIT 1000",
+    "heldout_pairs": f"WITH {PAIRS} SELECT k FROM pairs WHERE query NOT IN (SELECT query FROM pairs WHERE conv_id % 2 = 0) ORDER BY {md5('held', 'query')}, query, k LIMIT 100",
     "keywords_attach": f"WITH {PAIRS}, l AS (SELECT query, arg_max('kw ' || k, conv_id * 1000 + turn) AS keywords FROM pairs WHERE conv_id % 3 <> 0 GROUP BY query) SELECT k, keywords FROM pairs LEFT JOIN l USING (query)",
     "substring_exclusion": "SELECT doc_id FROM documents WHERE NOT contains(text, 'License') AND NOT contains(text, '###')",
     "quality_gate": f"""WITH t AS (SELECT doc_id, unnest(range(0, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE 8 END)) AS i FROM documents),
@@ -163,11 +175,14 @@ ORACLE_SQL = {
     "duplicate_rows": "WITH c AS (SELECT text, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1) SELECT count(*) AS groups, sum(n - 1)::BIGINT AS extra, max(n) AS most FROM c",
     "prompt_render": f"WITH {PAIRS} SELECT k, sha256(concat('Query: ', query, chr(10), 'Document: ', document, chr(10), 'Answer:')) AS prompt FROM pairs",
     "key_allocation": "SELECT event_id, CASE WHEN event_id // 7 < 1000 THEN event_id % 7 END AS slot FROM events",
-    "final_assembly": f"""WITH {PAIRS}, p AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 2 END AS half, pow(score, 1.609::DOUBLE) AS rs, CASE WHEN {h('ev', 'k')} < 0.5 THEN 'yes' ELSE 'no' END AS label FROM pairs),
-        l AS (SELECT *, CASE WHEN half = 2 THEN 'point-wise' WHEN (rs > 0.5 AND label = 'yes') OR (rs <= 0.5 AND label = 'no') THEN 'point-wise;sft' ELSE 'sft' END AS loss_type FROM p),
-        q AS (SELECT half, query, row_number() OVER (PARTITION BY half ORDER BY {md5('final', 'query')}, query) AS i FROM (SELECT DISTINCT half, query FROM l)),
-        m AS (SELECT l.*, i <= 10 AS is_dev FROM l JOIN q ON q.half = l.half AND q.query = l.query),
-        least_size AS (SELECT min(n) AS cap FROM (SELECT half, count(*) AS n FROM m WHERE is_dev GROUP BY half)),
-        d AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY {md5('final', "concat(query, chr(10), document)")}, concat(query, chr(10), document)) AS k2 FROM m WHERE is_dev)
-        SELECT 'train' AS part, loss_type, count(*) AS n FROM m WHERE NOT is_dev GROUP BY ALL UNION ALL SELECT 'dev', loss_type, count(*) FROM d, least_size WHERE k2 <= cap GROUP BY ALL""",
+    "final_assembly": f"""WITH {PAIRS}, p AS (SELECT *, concat(query, chr(10), document) AS pair, CASE WHEN conv_id % 5 <= 2 THEN 0 ELSE 1 END AS corpus, conv_id % 5 IN (0, 1, 3) AS is_evidence FROM pairs),
+        e AS (SELECT corpus, query, pair, pow({h('es', 'pair')}, 1.609::DOUBLE) AS rs, CASE WHEN {h('ev', 'pair')} < 0.5 THEN 'yes' ELSE 'no' END AS label FROM p WHERE is_evidence),
+        l AS (SELECT *, CASE WHEN (rs > 0.5 AND label = 'yes') OR (rs <= 0.5 AND label = 'no') THEN 'point-wise;sft' ELSE 'sft' END AS loss_type FROM e),
+        q AS (SELECT corpus, query, row_number() OVER (PARTITION BY corpus ORDER BY CASE corpus WHEN 0 THEN {md5('final0', 'query')} ELSE {md5('final1', 'query')} END, query) AS i FROM (SELECT DISTINCT corpus, query FROM l)),
+        m AS (SELECT l.*, i <= 40 AS is_dev FROM l JOIN q ON q.corpus = l.corpus AND q.query = l.query),
+        cap AS (SELECT least(count(*) FILTER (corpus = 0), count(*) FILTER (corpus = 1)) AS cap FROM m WHERE is_dev),
+        d AS (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY {md5('final', 'pair')}, pair) AS k2 FROM m WHERE is_dev)
+        SELECT 'sft' AS part, loss_type, query, round(rs, 6) AS revised_score FROM m WHERE NOT is_dev
+        UNION ALL SELECT 'point_wise', 'point-wise', query, round(pow(score, 1.609::DOUBLE), 6) FROM p WHERE NOT is_evidence
+        UNION ALL SELECT 'dev', loss_type, query, round(rs, 6) FROM d, cap WHERE k2 <= cap""",
 }

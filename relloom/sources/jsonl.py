@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.checks import asserted
+
 GRADED = "query string, documents array<struct<content:string, relevance_score:double, relevance:double>>, pos_list array<string>, neg_list array<string>"
 
 
@@ -24,21 +27,45 @@ def lenient(spark: SparkSession, path: str | list[str], schema: str, keep_bad: b
     return spark.read.schema(kind).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
-def validated(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows that meet every rule; one that doesn't raises an error naming the rule and the file."""
-    file = F.input_file_name()
-    first, *rest = df.columns
-    value = F.col(first)
-    for name, rule in reversed(rules.items()):
-        value = F.when(F.coalesce(rule, F.lit(False)), value).otherwise(F.raise_error(F.concat(F.lit(f"{name}: "), file)))
-    return df.select(value.alias(first), *rest)
+def validated(df: DataFrame, rules: dict[str, Column], shown: str | None = None) -> DataFrame:
+    """Rows that meet every rule; one that doesn't raises an error with the rule, the file and, if there is one, column ``shown``.
+
+    The rules are filters, so they hold whichever columns are read and when rows are only counted.
+    """
+    told = F.concat(F.lit(": "), F.substring(F.coalesce(F.col(shown).cast("string"), F.lit("")), 1, 200)) if shown else F.lit("")
+    for name, rule in rules.items():
+        df = df.where(asserted(rule, F.concat(F.lit(f"{name} in "), F.col("_file"), told)))
+    return df
 
 
 def triples(spark: SparkSession, path: str) -> DataFrame:
     """query, pos_list (not empty), neg_list."""
-    rows = lenient(spark, path, "query string, pos_list array<string>, neg_list array<string>", keep_bad=True)
-    rules = {"malformed line": F.col("_corrupt_record").isNull(), "query": F.col("query").isNotNull(), "pos_list": F.size("pos_list") > 0, "neg_list": F.col("neg_list").isNotNull()}
-    return validated(rows.select("query", "pos_list", "neg_list", "_corrupt_record"), rules).drop("_corrupt_record")
+    rows = lenient(spark, path, "query string, pos_list array<string>, neg_list array<string>", keep_bad=True).withColumn("_file", F.col("_metadata.file_path"))
+    full = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())
+    rows = validated(rows, {"malformed line": F.col("_corrupt_record").isNull()}, "_corrupt_record")
+    rules = {"query": F.col("query").isNotNull(), "pos_list": full("pos_list") & (F.size("pos_list") > 0), "neg_list": full("neg_list")}
+    return validated(rows, rules, "query").select("query", "pos_list", "neg_list")
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line (from 1), text of every line that isn't an object of ``schema``: what to mend after a scan has raised.
+
+    Files are numbered whole, each in one task; this is a tool for the error path, not for a scan.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1)):
+                lines = content.as_py().decode("utf-8", "replace").split("\n")
+                shown = [(k + 1, x) for k, x in enumerate(lines) if x.strip()]
+                for at in range(0, len(shown), 4096):
+                    some = shown[at : at + 4096]
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(some), pa.string()), "line": pa.array([k for k, _ in some], pa.int64()), "text": pa.array([x for _, x in some], pa.string())})
+
+    numbered = rows.mapInArrow(run, "file string, line long, text string")
+    kind = T._parse_datatype_string(schema).add("_corrupt_record", "string")
+    return numbered.withColumn("_x", F.from_json("text", kind, {"mode": "PERMISSIVE"})).where(F.col("_x._corrupt_record").isNotNull()).drop("_x")
 
 
 def sniffed(spark: SparkSession, path: str) -> str:
@@ -53,7 +80,7 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     """query, documents array<string>, relevance array<double> of either format; both names of the grade are read."""
     rows = spark.read.schema(GRADED).json(path)
     if sniffed(spark, path) == "documents":
-        rows = validated(rows.select("query", "documents"), {"query": F.col("query").isNotNull(), "documents": F.size("documents") > 0})
+        rows = validated(rows.withColumn("_file", F.col("_metadata.file_path")), {"query": F.col("query").isNotNull(), "documents": F.coalesce(F.size("documents") > 0, F.lit(False))}, "query")
         grade = F.transform("documents", lambda d: F.coalesce(d["relevance_score"], d["relevance"]))
         return rows.select("query", F.transform("documents", lambda d: d["content"]).alias("documents"), grade.alias("relevance"))
     rows = triples(spark, path)
@@ -90,6 +117,20 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def write_array(df: DataFrame, path: str, order: str) -> None:
+    """A small DataFrame as one JSON array in one file, in ``order``; the elements are written as they stream by."""
+    spark = df.sparkSession
+    system, target = _system(spark, path)
+    stream = system.create(target, True)
+    try:
+        stream.write(b"[")
+        for k, r in enumerate(encoded(df.orderBy(order)).toLocalIterator()):
+            stream.write((",\n" if k else "\n").encode() + r["value"].encode())
+        stream.write(b"\n]\n")
+    finally:
+        stream.close()
+
+
 def encoded(df: DataFrame) -> DataFrame:
     """One JSON text a row, nulls written out."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

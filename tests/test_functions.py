@@ -31,7 +31,10 @@ def test_tag_body_is_the_first_and_stripped(spark):
 
 def test_judge_scores_are_all_or_nothing(spark):
     full = "<scores>" + "".join(f"<{f}>{i % 5 + 1}</{f}>" for i, f in enumerate(tx.SCORE_FIELDS)) + "</scores>"
-    assert one(spark, tx.judge_scores("t"), t=full).asDict()["faithfulness"] == 2
+    assert one(spark, tx.judge_scores("t"), t=full).asDict()["contribution_coverage"] == 2
+    names = "contribution_accuracy contribution_coverage evidence_faithfulness evidence_self_contained evidence_concision overall"
+    assert tx.SCORE_FIELDS == tuple(names.split())
+    assert one(spark, tx.judge_reason("t"), t="<reason> a\n b </reason>") == "a\n b" and one(spark, tx.judge_reason("t"), t="x") is None
     assert one(spark, tx.judge_scores("t"), t=full.replace("<overall>1</overall>", "")) is None
 
 
@@ -41,13 +44,32 @@ def test_scripts(spark):
     assert one(spark, tx.language("t"), t="ひらがなです") == "Japanese"
     assert one(spark, tx.language("t"), t="한국어") == "Korean"
     assert one(spark, tx.same_script("a", "b"), a="abc", b="12")
+    assert one(spark, tx.dominant_script("t"), t="éàü漢") == "cjk"
+    assert one(spark, tx.same_script("a", "b"), a="漢字", b="<contribution>漢</contribution><EVIDENCE>字</EVIDENCE>")
+    # the share is taken of all counted characters; without any the text counts as Chinese
+    assert one(spark, tx.language("t"), t="漢" * 60 + "x" * 50 + "か" * 4) == "Chinese"
+    assert one(spark, tx.language("t"), t="漢" * 60 + "か" * 4) == "Japanese"
+    assert one(spark, tx.language("t"), t="12 Жж") == "Chinese" and one(spark, tx.language("t"), t="ab") == "English"
+
+
+def test_truncation_keeps_the_text_itself(spark):
+    assert one(spark, tx.truncated("t", 3), t="a,b\n\nc d") == "a,b"
+    assert one(spark, tx.truncated("t", 4), t="a,b\n\nc d") == "a,b\n\nc"
+    assert one(spark, tx.truncated("t", 5), t="a,b\n\nc d ") == "a,b\n\nc d "
+
+
+def test_quota_and_query_rules(spark):
+    assert one(spark, tx.quota_error("t"), t="Your QUOTA is Exhausted") and not one(spark, tx.quota_error("t"), t="quota") and not one(spark, tx.quota_error("t"), t="timeout")
+    assert one(spark, tx.quota_error("t", "n"), t="x", n="ExaUsageLimitError")
+    assert one(spark, tx.cut_query("t", 3), t="abcdef") == "abc"
+    assert one(spark, tx.instructed("t", "m", "do: ", ("m",)), t="q") == "do: q" and one(spark, tx.instructed("t", "k", "do: ", ("m",)), t="q") == "q"
 
 
 def test_keywords_and_quotes(spark):
     assert one(spark, tx.refused_keywords("t"), t=" skip ")
     assert one(spark, tx.refused_keywords("t"), t="a b c d e f g h")
     assert one(spark, tx.unquoted("t"), t="\"'x'\"") == "x"
-    assert one(spark, tx.unquoted("t"), t="None") == ""
+    assert one(spark, tx.unquoted("t"), t="None") == "" and one(spark, tx.unquoted("t"), t="\" 'x' \"") == "x" and one(spark, tx.unquoted("t"), t="'") == ""
 
 
 def test_numbered_list_pads_and_cuts(spark):

@@ -1,6 +1,9 @@
 """Operators against small literals and plain Python."""
 
+import json
+import pathlib
 import random
+import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -127,8 +130,39 @@ def test_sweep_matches_plain_counts(spark):
         assert got[level]["precision_above"] == pytest.approx(tp / (tp + fp) if tp + fp else 0)
 
 
+def test_sweep_meets_its_thresholds_exactly(spark):
+    rows = [(0.29, True), (0.57, True), (0.07, False), (0.5, False)]
+    got = {r["level"]: r for r in calibrate.sweep(spark.createDataFrame(rows, "score double, positive boolean")).collect()}
+    assert (got[29]["precision_above"], got[29]["recall_above"], got[29]["hits_above"]) == (pytest.approx(2 / 3), 1.0, 3)
+    assert (got[57]["precision_above"], got[57]["recall_above"]) == (1.0, 0.5) and got[7]["recall_below"] == 0.5
+    for level in range(101):
+        t = level / 100
+        assert got[level]["hits_above"] == sum(s >= t for s, _ in rows) and got[level]["hits_below"] == sum(s <= t for s, _ in rows)
+
+
+def test_calibration_of_one_class_or_nothing(spark):
+    empty = spark.createDataFrame([], "q string, score double, positive boolean")
+    assert calibrate.calibrated(empty, "q", [0.9], [0.1], points=50).count() == 0
+    one = spark.createDataFrame([(str(i), i / 10, True) for i in range(10)], "q string, score double, positive boolean")
+    assert calibrate.calibrated(one, "q", [0.9], [0.1], points=50).count() == 0
+
+
+def test_null_is_a_group_like_others(spark):
+    df = spark.createDataFrame([(i, "a" if i < 5 else None) for i in range(15)], "id long, g string")
+    got = sampling.first_of_groups(df, ["g"], "id", "t", 3).groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in got} == {"a": 3, None: 3}
+
+
+def test_positions_by_length(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "x" * rng.randint(0, 5)) for i in range(100)], "id long, t string")
+    got = sorted(sampling.length_batches(df, F.length("t"), "id", 8).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(100)) and [r["batch"] for r in got] == [k // 8 for k in range(100)]
+    assert [len(r["t"]) for r in got] == sorted(len(r["t"]) for r in got)
+
+
 def test_prediction_routes(spark):
-    scores = "<scores>" + "".join(f"<{f}>3</{f}>" for f in ("relevance", "faithfulness", "completeness", "conciseness", "clarity", "overall")) + "</scores>"
+    scores = "<scores>" + "".join(f"<{f}>3</{f}>" for f in ("contribution_accuracy", "contribution_coverage", "evidence_faithfulness", "evidence_self_contained", "evidence_concision", "overall")) + "</scores>"
     full = "yes <contribution>c</contribution><evidence>e</evidence>"
     df = spark.createDataFrame([(0, full, "yes", scores), (1, "yes", "yes", scores), (2, full, "no", scores), (3, full, "yes", "")], "id int, pred_text string, annotated_label string, judge_text string")
     got = {r["id"]: r["eval_status"] for r in prediction.routed(prediction.enriched(df)).collect()}
@@ -142,10 +176,114 @@ def test_runner_retries_nulls_and_resumes(spark):
     assert [tuple(r) for r in rows] == [("b", "p2", "P2")]
 
 
-def test_final_rows_are_checked(spark):
-    df = spark.createDataFrame([("q", "other", 0.5)], "query string, loss_type string, revised_score double")
-    with pytest.raises(Exception, match="bad training row"):
-        assemble.checked(df).collect()
+class Counting:
+    """A client that writes down what it is asked, in a folder, and answers otherwise each time."""
+
+    def __init__(self, folder, answer):
+        self.folder, self.answer = str(folder), answer
+
+    def __call__(self, prompts):
+        name = f"{self.folder}/{uuid.uuid4().hex}"
+        with open(name, "w") as out:
+            out.writelines(f"{p}\n" for p in prompts)
+        return [self.answer(p) for p in prompts]
+
+    def asked(self):
+        return [x for p in pathlib.Path(self.folder).iterdir() for x in p.read_text().split("\n") if x]
+
+
+def test_repair_asks_each_row_once_a_round(spark, tmp_path):
+    folders = [tmp_path / str(k) for k in range(3)]
+    for f in folders:
+        f.mkdir()
+    clients = [Counting(f, lambda p: f"bad {uuid.uuid4().hex}" if int(p) % 2 else "good") for f in folders]
+    df = spark.createDataFrame([(str(i), "bad") for i in range(10)], "prompt string, answer string")
+    out = runner.repaired(df, "prompt", "answer", F.col("answer").startswith("bad"), clients)
+    first, second = sorted(map(tuple, out.collect())), sorted(map(tuple, out.collect()))
+    assert first == second and len(first) == 10 and sum(a == "good" for _, a in first) == 5
+    assert sorted(clients[0].asked()) == [str(i) for i in range(10)]
+    assert sorted(clients[1].asked()) == sorted(clients[2].asked()) == ["1", "3", "5", "7", "9"]
+
+
+def broken(prompts):
+    raise OSError("no network")
+
+
+def test_an_outage_is_no_empty_answer(spark):
+    df = spark.createDataFrame([("a", "p")], "k string, prompt string")
+    with pytest.raises(Exception, match="no network"):
+        runner.called(df, "prompt", "answer", broken).collect()
+    row = runner.called(df, "prompt", "answer", broken, error="why").first()
+    assert row["answer"] is None and "no network" in row["why"]
+    assert runner.translated(df, "prompt", broken).first()["prompt"] == "p"
+
+
+def test_runs_resume(spark, tmp_path):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    client = Counting(folder, lambda p: None if p == "p3" and len(list(folder.iterdir())) < 9 else p.upper())
+    df = spark.createDataFrame([(f"k{i}", f"p{i}") for i in range(4)] + [("k0", "p0"), (None, "p9")], "k string, prompt string")
+    store = f"file://{tmp_path}/store"
+    out = runner.run_resumed(spark, df, store, "k", "prompt", "answer", client, retries=0)
+    assert {r["k"]: r["answer"] for r in out.collect()} == {"k0": "P0", "k1": "P1", "k2": "P2", "k3": None, None: None} and out.count() == 6
+    before = len(client.asked())
+    assert before == 4
+    runner.run_in_rounds(spark, df, store, "k", "prompt", "answer", client, 3, retries=0)
+    assert client.asked().count("p3") == 2 and len(client.asked()) == 5  # only what had no answer is asked again
+
+
+def test_annotation_run_stops_early(spark, tmp_path):
+    folders = [tmp_path / f"m{k}" for k in range(5)]
+    for f in folders:
+        f.mkdir()
+    says = lambda k: lambda p: "yes." if p == "sure" or k % 2 else "No, because"
+    models = {f"m{k}": Counting(f, says(k)) for k, f in enumerate(folders)}
+    df = spark.createDataFrame([("a", "sure"), ("b", "split")], "k string, prompt string")
+    out = {r["k"]: r for r in runner.voted(spark, df, f"file://{tmp_path}/stores", "k", "prompt", models).collect()}
+    assert (out["a"]["yes_votes"], out["a"]["annotated_label"]) == (3, "yes") and (out["b"]["no_votes"], out["b"]["annotated_label"]) == (3, "no")
+    assert [sorted(m.asked()) for m in models.values()] == [["split", "sure"]] * 3 + [["split"]] * 2
+
+
+def test_flag_filter_run(spark, tmp_path):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    client = Counting(folder, lambda p: "Yes" if "ill" in p else "no")
+    df = spark.createDataFrame([("ill",), ("ill",), ("well",), (None,)], "t string")
+    kept = runner.flagged_out(spark, df, f"file://{tmp_path}/flags", "t", client)
+    assert sorted(str(r["t"]) for r in kept.collect()) == ["None", "well"] and sorted(client.asked()) == ["ill", "well"]
+
+
+def test_evaluation_over_datasets_uses_its_cache(spark, tmp_path):
+    for name, grades in (("a", [0.0, 1.0]), ("b", [1.0, 0.0])):
+        spark.createDataFrame([(i, "q", ["x", "y"], grades) for i in range(3)], "idx int, query string, documents array<string>, relevance array<double>").coalesce(1).write.json(f"{tmp_path}/in/{name}.jsonl")
+    read = lambda path: spark.read.schema("idx int, query string, documents array<string>, relevance array<double>").json(path)
+    scorer = lambda q, d: F.transform(d, lambda x, i: -i.cast("double"))
+    for _ in range(2):
+        out = {r["dataset"]: (r["n"], round(r["ndcg"], 4)) for r in evaluation.run_over(spark, f"{tmp_path}/in", ["a", "b"], read, scorer, f"{tmp_path}/cache", "m").collect()}
+        assert out == {"a": (3, 0.6309), "b": (3, 1.0), None: (6, 0.8155)}
+    assert spark.read.parquet(f"{tmp_path}/cache/m/a").count() == 3
+
+
+def test_final_rows_are_checked_whatever_is_read(spark):
+    for loss, score in (("other", 0.5), (None, 0.5), ("sft", 5.0)):
+        rows = assemble.checked(spark.createDataFrame([("q", loss, score)], "query string, loss_type string, revised_score double"))
+        for action in (rows.collect, rows.count, rows.select("query").collect):
+            with pytest.raises(Exception, match="bad training row"):
+                action()
+    good = spark.createDataFrame([("q", "sft", None), ("q", "point-wise", 1.0)], "query string, loss_type string, revised_score double")
+    assert assemble.checked(good).count() == 2
+
+
+def test_provider_results(spark):
+    kind = "extra struct<original_tavily_result:struct<answer:string,results:array<struct<title:string,content:string,raw_content:string>>>,original_zhipu_result:array<struct<title:string,content:string>>,original_exa_result:struct<results:array<struct<title:string,text:string>>>>"
+    rows = [(1, ((" the answer ", [("t", "c", None)]), None, None)), (2, (None, [("t", " z ")], None)), (3, (None, None, ([("", "x")],))), (4, (None, None, (None,))), (5, (("  ", []), None, None))]
+    df = spark.createDataFrame(rows, f"k int, {kind}")
+    extra = F.col("extra")
+    found = df.select("k", search.provider_results(extra).alias("r"), search.provider_answer(extra).alias("a"))
+    docs = {r["k"]: r["docs"] for r in search.topk_documents(found, "k", F.col("r"), answer=F.col("a")).collect()}
+    assert docs[1][0] == "the answer" and len(docs[1]) == 2 and docs[2][0].endswith("z") and docs[3] == ["x"] and set(docs) == {1, 2, 3}
+    with pytest.raises(Exception, match="unknown search source"):
+        spark.createDataFrame([(1, (None, None, None))], f"k int, {kind}").select(search.provider_results(extra)).collect()
 
 
 def test_search_cap_and_decoration(spark):
@@ -161,8 +299,19 @@ def test_jsonl_scans(spark, tmp_path):
     assert jsonl.lenient(spark, str(path), schema).count() == 1
     with pytest.raises(Exception):
         jsonl.strict(spark, str(path), schema).collect()
-    with pytest.raises(Exception, match="malformed line"):
-        jsonl.triples(spark, str(path)).collect()
+    for action in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("neg_list").collect()):
+        with pytest.raises(Exception, match="malformed line"):
+            action(jsonl.triples(spark, str(path)))
+    assert [(r["line"], r["text"]) for r in jsonl.bad_lines(spark, str(path), schema).collect()] == [(3, "{bad")]
+    for k, line in enumerate(('{"query": null, "pos_list": ["p"], "neg_list": []}', '{"query": "q", "pos_list": [], "neg_list": []}', '{"query": "q", "pos_list": ["p"], "neg_list": [null]}')):
+        other = tmp_path / f"b{k}.txt"
+        other.write_text(line + "\n")
+        with pytest.raises(Exception, match=f"b{k}.txt"):
+            jsonl.triples(spark, str(other)).count()
+    array = tmp_path / "a.json"
+    jsonl.write_array(spark.createDataFrame([(2, "b"), (1, None)], "k int, v string"), str(array), "k")
+    assert json.loads(array.read_text()) == [{"k": 1, "v": None}, {"k": 2, "v": "b"}]
+    assert sorted(map(tuple, jsonl.json_array(spark, str(array), "k int, v string").collect())) == [(1, None), (2, "b")]
     graded = tmp_path / "g.jsonl"
     graded.write_text('{"query": "q", "documents": [{"content": "d", "relevance": 1}]}\n')
     assert jsonl.sniffed(spark, str(graded)) == "documents" and jsonl.datasets(spark, str(tmp_path)) == ["a", "g"]
