@@ -79,7 +79,7 @@ def judge_reason(text) -> Column:
 
 def script_count(text, script: str) -> Column:
     """Characters of a script."""
-    return F.length(F.regexp_replace(_column(text), f"[^{SCRIPTS[script]}]", ""))
+    return F.length(F.regexp_replace(_column(text), f"[^{SCRIPTS[script]}]+", ""))
 
 
 def dominant_script(text) -> Column:
