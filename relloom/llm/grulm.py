@@ -21,7 +21,6 @@ GATHER tokens, or of one document if that is longer.
 
 from __future__ import annotations
 
-import re
 import threading
 from collections import Counter
 from heapq import heapify, heapreplace
@@ -40,13 +39,15 @@ CLASSES, SIZE, PREFIXES, STATE, WINDOW, LANES, WIDE = 32, 64, 47, 24, 32, 128, 5
 VOCABULARY = CLASSES * SIZE
 #: Tokens whose counts are broadcast; documents of the driver's sample and tokens of each at most; epochs over it.
 KNOWN, FIT_DOCS, FIT_TOKENS, WARM = 200_000, 400, 20_000, 3
+#: Weights that a step moves at a time, which the processor's cache holds; windows whose tokens are laid out at a time.
+BLOCK, LAID_OUT = 1 << 14, 16
 #: Learning rates of the warm-up and of the pass; full steps after which the latter's is 1 / sqrt(2) of what it was.
 WARM_RATE, RATE, HALVING = 0.01, 0.004, 200
 #: Tokens that a worker gathers before it runs the network; entries of its caches; models that are summed in one task.
 GATHER, CACHED, FAN_IN = 6_000_000, 250_000, 4
 END = ""
 #: What Python takes for space besides ASCII space.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,7 +56,7 @@ def words_of(text: str | None) -> list[str]:
         return []
     small = text.encode().lower()
     shown = small.decode()
-    return [w.decode() for w in small.split()] if ODD_SPACE.search(shown) else shown.split()
+    return [w.decode() for w in small.split()] if any(c in shown for c in ODD_SPACE) else shown.split()
 
 
 class Vocabulary:
@@ -193,8 +194,9 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
     given = np.concatenate([before[None], np.maximum(ids[:-1], 0)]).ravel()
     rows, inputs = room("rows", (steps * lanes, 3 * n), kind), room("inputs", (steps, 3 * n, lanes), kind)
     np.take(p["x"], given, axis=0, out=rows, mode="clip")
-    inputs[:] = rows.reshape(steps, lanes, 3 * n).transpose(0, 2, 1)
-    inputs[:, : 2 * n] *= 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+    across = rows.reshape(steps, lanes, 3 * n).transpose(0, 2, 1)
+    np.multiply(across[:, : 2 * n], kind.type(0.5), out=inputs[:, : 2 * n])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+    inputs[:, 2 * n :] = across[:, 2 * n :]
     half = np.ascontiguousarray(p["u"].T)
     half[: 2 * n] *= 0.5
     parts, gates, news = (room(name, (steps, m * n, lanes), kind) for name, m in (("parts", 3), ("gates", 2), ("news", 1)))
@@ -244,7 +246,6 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
         np.multiply(parts[:, 2 * n :], r, out=of_reset)
         of_reset *= rest
         carry, of_input = np.zeros((n, lanes), kind), rest
-        of_u, one = np.zeros((n, 3 * n), kind), np.empty((n, 3 * n), kind)
         for t in range(steps - 1, -1, -1):
             d, part, new = below[t], parts[t], of_input[t]
             d += carry
@@ -255,15 +256,17 @@ def window(p: dict, ids: np.ndarray, before: np.ndarray, fresh: np.ndarray, stat
             np.multiply(d, of_update[t], out=part[n : 2 * n])
             np.multiply(new, r[t], out=part[2 * n :])
             np.matmul(p["u"], part, out=carry)
-            np.matmul(states[t], part.T, out=one)
-            of_u += one
             d *= z[t]
             carry += d
-        grads["u"] += of_u
-        parts[:, 2 * n :] = of_input
-        rows = rows.reshape(3 * n, -1)
+        rows, olds = rows.reshape(3 * n, -1), flat.reshape(n, -1)
         rows.reshape(3 * n, steps, lanes)[:] = parts.transpose(1, 0, 2)
-        grads["x"] += np.stack([np.bincount(given, row, len(p["x"])) for row in rows], axis=1)
+        olds.reshape(n, steps, lanes)[:] = states[:-1].transpose(1, 0, 2)
+        grads["u"] += olds @ rows.T
+        rows[2 * n :].reshape(n, steps, lanes)[:] = of_input.transpose(1, 0, 2)
+        of_x = room("of_x", (3 * n, len(p["x"])), kind)
+        for own, row in zip(of_x, rows):
+            own[:] = np.bincount(given, row, len(own))
+        grads["x"] += of_x.T
     return logs.reshape(ids.shape), states[-1].T.copy()
 
 
@@ -289,22 +292,24 @@ class Trainer:
         self.steps += 1
         share = tokens / (self.full or tokens)
         self.work += share
-        g, spare = self.slope, self.spare
-        size = float(np.sqrt(g @ g)) / tokens
-        g *= min(1.0, 1.0 / (size + 1e-12)) / tokens
+        size = float(np.sqrt(self.slope @ self.slope)) / tokens
+        scale = min(1.0, 1.0 / (size + 1e-12)) / tokens
         rate = self.rate * share * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        np.multiply(g, g, out=spare)
-        spare *= 0.01
-        self.second *= 0.99
-        self.second += spare
-        g *= 0.1
-        self.first *= 0.9
-        self.first += g
-        np.sqrt(self.second, out=spare)
-        spare += 1e-5
-        np.divide(self.first, spare, out=spare)
-        spare *= rate
-        self.flat -= spare
+        for k in range(0, len(self.flat), BLOCK):  # a block at a time, which the processor's cache holds
+            flat, first, second, g, spare = (x[k : k + BLOCK] for x in (self.flat, self.first, self.second, self.slope, self.spare))
+            g *= scale
+            np.multiply(g, g, out=spare)
+            spare *= 0.01
+            second *= 0.99
+            second += spare
+            g *= 0.1
+            first *= 0.9
+            first += g
+            np.sqrt(second, out=spare)
+            spare += 1e-5
+            np.divide(first, spare, out=spare)
+            spare *= rate
+            flat -= spare
 
 
 def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = None) -> np.ndarray:
@@ -330,25 +335,24 @@ def run(p: dict, docs: list[np.ndarray], lanes: int, trainer: Trainer | None = N
     total = np.zeros(len(docs))
     state, last, last_owner = np.zeros((len(tokens), STATE), np.float32), np.zeros(len(tokens), np.int64), np.full(len(tokens), -1)
     span = WINDOW if trainer else max(1, WINDOW * LANES // max(LANES, lanes))
-    for k in range(0, int(sizes.max(initial=0)), WINDOW):
-        busy = int((sizes > k).sum())
-        steps = min(WINDOW, int(sizes[0]) - k)
+    laid = WINDOW * LAID_OUT
+    for k in range(0, int(sizes.max(initial=0)), laid):
+        busy, steps = int((sizes > k).sum()), min(laid, int(sizes[0]) - k)
         ids, whose = np.full((steps, busy), -1, np.int64), np.full((steps, busy), -1, np.int64)
         for j in range(busy):
             part = tokens[j][k : k + steps]
             ids[: len(part), j] = part
             whose[: len(part), j] = owners[j][k : k + steps]
         fresh = whose != np.concatenate([last_owner[None, :busy], whose[:-1]])
-        real = ids >= 0
-        state, last = state[:busy], last[:busy]
         for t in range(0, steps, span):
+            busy = int((sizes > k + t).sum())
+            here, real = ids[t : t + span, :busy], ids[t : t + span, :busy] >= 0
             grads = trainer.grads() if trainer else None
-            logs, state = window(p, ids[t : t + span], last, fresh[t : t + span], state, grads)
+            logs, state = window(p, here, last[:busy], fresh[t : t + span, :busy], state[:busy], grads)
             if grads is not None:
                 trainer.step(grads, int(real.sum()))
-            here = real[t : t + span]
-            total += np.bincount(whose[t : t + span][here], logs[here], len(docs))
-            last = np.maximum(ids[min(t + span, steps) - 1], 0)
+            total += np.bincount(whose[t : t + span, :busy][real], logs[real], len(docs))
+            last = np.maximum(here[-1], 0)
         last_owner = whose[-1]
     return total / np.log(10)
 
@@ -378,26 +382,27 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     """The vocabulary with its broadcast counts, N and V; only bounded tops of the counts reach the driver."""
-    total = counts.agg(F.sum("c"), F.count("*")).first()
     # the words above the count that KNOWN words reach at most: counts by octave eighths tell it, so no task sends more
     eighth = F.floor(F.log2("c") * 8).cast("int")
     least, above = None, 0
-    for r in sorted(counts.groupBy(eighth.alias("e")).count().collect(), reverse=True):
-        if above + r["count"] > KNOWN:
+    found = sorted(counts.groupBy(eighth.alias("e")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect(), reverse=True)
+    total, types = sum(r["c"] for r in found), sum(r["n"] for r in found)
+    for r in found:
+        if above + r["n"] > KNOWN:
             break
-        least, above = r["e"], above + r["count"]
-    if above >= min(VOCABULARY, total[1] or 0):
+        least, above = r["e"], above + r["n"]
+    if above >= min(VOCABULARY, types):
         top = sorted(counts.where(eighth >= least).collect() if above else [], key=lambda r: (-r["c"], r["word"]))
     else:  # too many words of nearly one count
         top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
     head = [r["word"] for r in top[:VOCABULARY]]
     spark = counts.sparkSession
     rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in head], "word string")), "word", "left_anti") if head else counts
-    by = rest.groupBy(F.substring("word", 1, 2).alias("prefix")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    by = materialize(rest.groupBy(F.substring("word", 1, 2).alias("prefix")).agg(F.sum("c").alias("n"), F.count("*").alias("v")))
     prefixes = by.orderBy(F.desc("n"), "prefix").limit(PREFIXES).collect()
     sums = by.agg(F.sum("n"), F.sum("v")).first()
     others = ((sums[0] or 0) - sum(r["n"] for r in prefixes), (sums[1] or 0) - sum(r["v"] for r in prefixes))
-    return Vocabulary([r["word"] for r in top], [r["c"] for r in top], [r["prefix"] for r in prefixes], [others, *((r["n"], r["v"]) for r in prefixes)]), total[0] or 0, total[1] or 0
+    return Vocabulary([r["word"] for r in top], [r["c"] for r in top], [r["prefix"] for r in prefixes], [others, *((r["n"], r["v"]) for r in prefixes)]), total, types
 
 
 def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
