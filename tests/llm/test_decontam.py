@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -71,6 +72,40 @@ def test_many_blocks_give_the_same(spark, docs, planted, monkeypatch):
     assert run(spark, docs(rows), items) == brute(rows, items)
 
 
+def test_windows_under_one_hash_are_told_apart(planted, monkeypatch):
+    monkeypatch.setattr(decontam, "FACTOR", 1)  # a window's hash is the sum of its ids: many collide
+    rows, items = planted
+    items = items + [(20, "w1 " * 40), (21, "w1 " * 13), (22, "w2 w1 " + "w1 w2 " * 20)]
+    windows = decontam.Windows([(i, t) for i, t in items if i is not None and t is not None])
+    rows = rows + [(500, "w1 " * 30), (501, "w2 w1 " * 9)]
+    for (i, t), want in zip(rows, [r for row in rows for r in brute([row], items)]):
+        mask, found = windows.scan(decontam.words_of(t))
+        assert (0 if mask is None else int(mask.sum()), len(found)) == want[2:4], i
+
+
+def test_memory_and_time_of_a_block():
+    """A full block takes less than 300 MB in a worker, and is built once a process."""
+    rng = random.Random(2)
+    vocabulary = [f"word{k}" for k in range(200_000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=200))) for k in range(8_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = decontam.Windows(items)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size > decontam.BLOCK_BYTES * 0.9 and most < 300e6
+    mask, found = windows.scan(decontam.words_of("x " + items[77][1][50:400] + " y"))
+    assert found == {"77"} and 0 < mask.sum() < len(mask)
+
+
+def test_very_long_texts_and_empty_tables(spark, docs, planted):
+    rows, items = planted
+    long = " ".join(["w39 w38"] * 150_000) + " " + items[0][1] + " " + "zz " * 1000
+    assert run(spark, docs([(1, long), (2, None)]), items) == sorted(brute([(1, long)], items) + brute([(2, None)], items))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.remove(docs(rows).limit(0), bench).count() == 0 and decontam.remove(docs(rows), bench.limit(0)).count() == len(rows)
+
+
 def test_remove_documents_or_spans(spark, docs, planted):
     rows, items = planted
     bench = spark.createDataFrame(items, "item_id long, text string")
