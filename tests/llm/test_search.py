@@ -39,6 +39,35 @@ def test_ties_copies_and_bad_vectors(spark):
     assert run(spark, rows, 10, 16) == brute(rows, 10)
 
 
+def test_copies_of_one_vector_are_dealt_to_many_shards(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(150)] + [(1000 + i, [float(i % 7), float(i % 5)]) for i in range(150)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    parts = kdtree.dealt(kdtree.whole(df), 16).groupBy("shard", "part").count().collect()
+    assert max(r["count"] for r in parts) < 40 and len(parts) > 10
+    assert run(spark, rows, 10, 16) == brute(rows, 10)
+
+
+def test_queries_go_only_where_they_may_find_something(spark, monkeypatch):
+    """Distant clusters: after its nearest shards a query visits few others, and their number doesn't grow with the clusters."""
+    rng = np.random.default_rng(1)
+    made = []
+    real = kdtree.visited
+    monkeypatch.setattr(kdtree, "visited", lambda asked, *more: made.append(asked.count()) or real(asked, *more))
+    rows = []
+    for c in range(16):
+        centre = 20 * np.array([np.cos(c * np.pi / 8), np.sin(c * np.pi / 8)])
+        rows += [(c * 64 + j, (centre + rng.normal(size=2)).round(2).tolist()) for j in range(64)]
+    assert run(spark, rows, 16, 64) == brute(rows, 16)
+    assert made[0] == 2 * 64 and made[1] < 4 * 64  # 64 queries, 16 shards or more
+
+
+def test_many_queries_of_a_shard_are_taken_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).round(1).tolist()) for i in range(200)]
+    assert run(spark, rows, 2, 64) == brute(rows, 2)
+
+
 def test_few_candidates_and_empty_table(spark):
     rows = [(0, [1.0]), (1, [2.0])]
     assert run(spark, rows, 1, 4) == brute(rows, 1)
