@@ -2,8 +2,11 @@
 
 Arrivals are appended as small immutable files. Files fall in tiers by size, each tier FAN times the one below; once a tier
 holds FAN files, all of them are merged, without a shuffle, into files near the target size. Every change is one new manifest
-version: its file list is written aside and renamed to the next number, which fails if another writer has taken it. Readers
-see the last complete version; a crash leaves only files that no manifest names, and ``vacuum`` removes them.
+version: its file list is written aside and renamed to the next number, which fails if another writer has taken it; the loser
+puts its change on top of the winner's version, and a merge whose files are gone by then is given up. Readers see the last
+complete version; a crash leaves only files that no manifest names. ``vacuum`` removes these, and those of versions that are no
+longer kept, once they are old enough that no writer can still be about to commit them. The rename is atomic on HDFS and local
+file systems; on an object store without atomic renames one writer at a time must be seen to from outside.
 
 A store keeps whole rows, all columns, and repeated rows; nulls and empty texts are rows like others; an empty arrival adds a
 version but no file. Files of half the target or more are never merged again.
@@ -13,8 +16,10 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +28,8 @@ from .common import remove, shared_dir
 
 #: Bytes of a full file and of the lowest tier; files of a tier that are merged.
 TARGET, BASE, FAN = 64 << 20, 1 << 20, 4
+#: Tries to commit; versions that ``vacuum`` keeps, and seconds before it takes files for abandoned; files whose list is broadcast.
+TRIES, KEPT, AGE, FEW = 20, 2, 86_400.0, 100_000
 
 
 class Store:
@@ -74,9 +81,23 @@ class Store:
         found = self.system().listStatus(self.path(run))
         return [{"path": f"{run}/{s.getPath().getName()}", "bytes": int(s.getLen())} for s in found if s.getPath().getName().startswith("part-")]
 
+    def changed(self, make, schema: str | None = None) -> dict:
+        """The next version with the files that ``make`` puts in place of the present ones; None from it gives the change up."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            files = make(now["files"])
+            if files is None:
+                return now
+            try:
+                return self.commit(now, files, schema or now["schema"])
+            except Py4JJavaError as lost:
+                if "Exist" not in lost.java_exception.getClass().getSimpleName():
+                    raise
+        raise RuntimeError(f"{self.root}: {TRIES} versions were taken by other writers")
+
     def append(self, rows: DataFrame) -> dict:
-        before = self.manifest()
-        return self.commit(before, before["files"] + self.written(rows), rows.schema.json())
+        files = self.written(rows)
+        return self.changed(lambda now: now + files, rows.schema.json())
 
     def tier(self, size: int) -> int:
         return 0 if size < self.base else 1 + int(math.log(size / self.base, self.fan) + 1e-9)
@@ -96,7 +117,7 @@ class Store:
             count = max(1, round(sum(f["bytes"] for f in merged) / self.target))
             gone = {f["path"] for f in merged}
             files = self.written(self.opened(merged, now["schema"]).coalesce(count))
-            now = self.commit(now, [f for f in now["files"] if f["path"] not in gone] + files, now["schema"])
+            now = self.changed(lambda there: [f for f in there if f["path"] not in gone] + files if gone <= {f["path"] for f in there} else None)
         return now
 
     def opened(self, files: list[dict], schema: str) -> DataFrame:
@@ -111,28 +132,45 @@ class Store:
             raise ValueError(f"{self.root} has no version")
         return self.opened(found["files"], found["schema"])
 
-    def vacuum(self) -> int:
-        """Delete the files that the last version doesn't name; returns how many runs went."""
-        named = {f["path"].split("/")[1] for f in self.manifest()["files"]}
-        gone = 0
-        for s in self.system().listStatus(self.path("data")):
-            if s.getPath().getName() not in named:
-                remove(self.spark, f"{self.root}/data/{s.getPath().getName()}")
+    def vacuum(self, keep: int = KEPT, age: float = AGE) -> int:
+        """Delete the runs that none of the last ``keep`` versions names, if they are older than ``age`` seconds; how many went.
+
+        A writer commits its files within ``age`` of their making. Manifests stay; versions before the kept ones can't be read.
+        """
+        named = {f["path"].split("/")[1] for v in self.versions()[-keep:] for f in self.manifest(v)["files"]}
+        folder, gone = self.path("data"), 0
+        if not self.system().exists(folder):
+            return 0
+        last = 1000 * (time.time() - age)
+        for s in self.system().listStatus(folder):
+            name = s.getPath().getName()
+            if name in named:
+                continue
+            made = max([s.getModificationTime(), *(f.getModificationTime() for f in self.system().listStatus(s.getPath()))])
+            if made <= last:
+                remove(self.spark, f"{self.root}/data/{name}")
                 gone += 1
         return gone
 
 
 def sharded(docs: DataFrame, arrivals: int = 4) -> DataFrame:
-    """doc_id, shard (its number in the manifest), shard_bytes and version of every row, after all arrivals are compacted."""
+    """doc_id, shard (its number in the manifest), shard_bytes and version of every row, after all arrivals are compacted.
+
+    The table is dealt to its arrivals in one pass. Nobody else writes to this store, so what a merge has replaced goes at once.
+    """
     spark = docs.sparkSession
-    store = Store(spark, shared_dir(spark))
-    key = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(arrivals))
+    store, dealt = Store(spark, shared_dir(spark)), shared_dir(spark)
+    docs.withColumn("relloom_arrival", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(arrivals)).cast("int")).write.mode("append").partitionBy("relloom_arrival").parquet(dealt)
     for k in range(arrivals):
-        store.append(docs.where(key == k))
+        arrived = f"{dealt}/relloom_arrival={k}"
+        there = store.system().exists(store.hadoop.Path(arrived))
+        store.append(spark.read.schema(docs.schema).parquet(arrived) if there else docs.limit(0))
         store.compact()
-        store.vacuum()
+        store.vacuum(keep=1, age=0)
+    remove(spark, dealt)
     last = store.manifest()
     names = {f["path"].rsplit("/", 1)[1]: (i, f["bytes"]) for i, f in enumerate(last["files"])}
     rows = store.read().select(F.col("doc_id").cast("long").alias("doc_id"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
     files = spark.createDataFrame([(n, i, b) for n, (i, b) in names.items()], "file string, shard int, shard_bytes long")  # as many rows as files
-    return rows.join(F.broadcast(files), "file").select("doc_id", "shard", "shard_bytes", F.lit(last["version"]).alias("version"))
+    files = F.broadcast(files) if len(names) <= FEW else files
+    return rows.join(files, "file").select("doc_id", "shard", "shard_bytes", F.lit(last["version"]).alias("version"))
