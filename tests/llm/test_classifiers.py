@@ -1,13 +1,14 @@
 """Quality, language and toxicity: held-out accuracy on made corpora, defined results for odd rows."""
 
 import collections
+import math
 import random
 import unicodedata
 
 import numpy as np
 import pytest
 
-from relloom.llm import langid, quality, toxicity
+from relloom.llm import common, langid, quality, toxicity
 from relloom.llm.common import held_id
 
 GOOD = ["ta", "ren", "mo", "li", "sha", "ver", "an", "do"]
@@ -73,6 +74,56 @@ def test_a_text_cut_over_steps_scores_alike(corpus):
     assert cut.scores([text, "a b", text]) == pytest.approx(whole.scores([text, "a b", text]))
 
 
+def plain_score(model, text):
+    """A document's score by the definition: the average of all its features' vectors, one at a time, then softmax."""
+    words = text.split()
+    vectors = []
+    for k, w in enumerate(words):
+        ids, _ = quality.features([w])
+        vectors += [model.vectors[i].astype(float) for i in ids]
+        if k and w == words[k - 1]:
+            vectors += [model.vectors[quality.BUCKETS].astype(float)] * int(quality.REPEAT)
+    hidden = sum(vectors) / len(vectors) if vectors else np.zeros(quality.DIM)
+    logits = hidden @ model.output + model.bias
+    return float(np.exp(logits[1]) / np.exp(logits).sum())
+
+
+def test_scores_match_the_plain_definition(corpus):
+    rows, known = corpus
+    model = quality.fit([(i, t, q) for (i, t), (_, q, _) in zip(rows, known)], (100, 300))
+    rng = random.Random(9)
+    texts = [rng.choice(rows)[1] for _ in range(20)] + ["", "a", "a a a", "日本 日本 x", " ".join(rng.choices(["ab", "ab", "cde", "é"], k=500))]
+    scorer = quality.Scorer(model.folded(), model.bias)
+    assert scorer.scores(texts) == pytest.approx([plain_score(model, t) for t in texts], abs=1e-4)
+
+
+def test_training_matches_plain_steps(monkeypatch):
+    """The gradient of the log loss, document by document and feature by feature."""
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    sample = [(1, "good words here here", 1), (2, "BAD!! words", 0), (3, "more good words", 1), (4, "", 0)]
+    got = quality.fit(sample, (2, 2), seed=3)
+    rng = np.random.default_rng(3)
+    vectors = rng.uniform(-0.5 / quality.DIM, 0.5 / quality.DIM, (quality.BUCKETS + 1, quality.DIM)).astype(np.float32).astype(float)
+    output, bias, step = np.zeros((quality.DIM, 2)), np.zeros(2), 0
+    for _ in range(2):
+        for k in rng.permutation(4):
+            ids, shares = quality.bag(sample[k][1])
+            rate = quality.RATE * (1 - step / 8)
+            step += 1
+            hidden = sum((w * vectors[i] for i, w in zip(ids, shares)), np.zeros(quality.DIM))
+            loss = lambda h, o, b: -(h @ o + b)[sample[k][2]] + np.log(np.exp(h @ o + b).sum())  # noqa: B023, E731
+            nudge = lambda f, n: np.array([(f(1e-6 * e) - f(-1e-6 * e)) / 2e-6 for e in np.eye(n)])
+            of_hidden = nudge(lambda d: loss(hidden + d, output, bias), quality.DIM)  # noqa: B023
+            of_output = nudge(lambda d: loss(hidden, output + d.reshape(output.shape), bias), output.size).reshape(output.shape)  # noqa: B023
+            of_bias = nudge(lambda d: loss(hidden, output, bias + d), 2)  # noqa: B023
+            for i, w in zip(ids, shares):
+                vectors[i] -= rate * min(len(ids), 1000) ** 0.5 * w * of_hidden
+            output, bias = output - rate * of_output, bias - 0.1 * rate * of_bias
+    assert np.allclose(got.vectors, vectors, atol=1e-4) and np.allclose(got.output, output, atol=1e-4)
+    seen = np.log(np.array([3, 3]) / 6)
+    assert np.allclose(got.bias, bias + np.log(np.array([3, 3]) / 6) - seen, atol=1e-4)
+
+
 def test_languages(spark, docs, odd):
     rng = random.Random(2)
     parts = {"aa": ["ka", "ru", "mi", "to"], "bb": ["sch", "ein", "ung", "ber"], "cc": ["eau", "oi", "que", "tre"]}
@@ -183,3 +234,41 @@ def test_segments_are_ruzzo_and_tompa_s():
         found = toxicity.segments(scores)
         assert max((x for _, _, x in found), default=0) == max(best, 0)
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def plain_segments(scores, start=0):
+    """All maximal segments by the definition: the best stretch (shortest, then first), and the same left and right of it."""
+    best = max(((sum(scores[i:j]), i - j, -i, i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    total, _, _, i, j = best
+    return [*plain_segments(scores[:i], start), (start + i, start + j, total), *plain_segments(scores[j:], start + j)]
+
+
+def test_toxicity_scores_match_a_quadratic_scan(corpus):
+    rows, known = corpus
+    model = toxicity.fit([(i, t, y) for (i, t), (_, _, y) in zip(rows, known)], (320, 80))
+    cache = toxicity.Cache(model.score_token, 1000)
+    rng = random.Random(12)
+    tested = 0
+    for _, text in rng.sample(rows, 40) + [(0, ""), (1, "zub"), (2, "ta ren " * 15 + "zubta zubmo")]:
+        words = toxicity.tokens(text)
+        scores = [max([model.odds[p] for p in toxicity.parts(w) if p in model.odds], default=0.0) - toxicity.DRIFT for w in words]
+        found = plain_segments(scores)
+        assert [x[:2] for x in toxicity.segments(np.array(scores, float))] == [x[:2] for x in found]
+        best, total = 0.0, 0.0
+        for r, (_, _, score) in enumerate(sorted(found, key=lambda x: -x[2])[: toxicity.BEST], 1):
+            total += model.rate * score - math.log(model.size * len(words))
+            if total > 0:
+                best = max(best, total - (r - 1) * math.log(total) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)) - (r * math.log(2) if r > 1 else 0))
+        want = min(toxicity.MOST, best / math.log(10))
+        assert model.surprise(words, cache) == pytest.approx(want, abs=1e-9)
+        assert model.probability(want) == pytest.approx(1 / (1 + math.exp(-(model.offset + model.slope * want))))
+        tested += want > 0
+    assert tested >= 3
+
+
+def test_an_id_that_occurs_often_is_sampled_once(spark, labels):
+    rows = spark.range(100_000).selectExpr("cast(id % 5 as long) doc_id", "concat('text ', id % 10) text")
+    found = common.labelled_sample(rows, labels([(i, i % 2, 0) for i in range(5)]), "quality", 5, 0, 10, 1000)
+    assert len(found) == len({i for i, _, _ in found}) == sum(not held_id(i, 5, 0) for i in range(5))
