@@ -1,7 +1,8 @@
 """Exact retrieval over vectors, its evaluation, and negatives mined from it.
 
-The queries are a stated set. They are packed in blocks and meet the corpus shard by shard: one matrix product for each block
-and shard, of which only k rows for each query leave the task. Neither side is ever broadcast or gathered whole.
+The queries are a stated set. They are packed in blocks and meet the corpus shard by shard: matrix products for each block and
+shard, of which only k rows for each query leave the task. Neither side is ever broadcast or gathered whole. Blocks and shards
+hold as many vectors as BYTES allow, so that each side is copied as seldom as a task's memory permits.
 """
 
 from __future__ import annotations
@@ -13,36 +14,52 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import gain
 
-SHARD, BLOCK = 8192, 1024
+BYTES, TILE = 16 << 20, 1024
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k greatest values and of all that equal the k-th."""
+    if sims.shape[1] <= k:
+        return np.nonzero(np.isfinite(sims))
+    kth = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
+    return np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, shard: int | None = None, block: int | None = None) -> DataFrame:
     """query_id, vec_id, sim, rank: the k best by inner product, ties to the smaller id; a query never finds itself.
 
     ``queries``: query_id long, vector array<float>; ``corpus``: vec_id long, vector array<float>. Where both have a column
-    ``kind``, a query doesn't find vectors of its own kind.
+    ``kind``, a query doesn't find vectors of its own kind. Null vectors take no part; vectors of different lengths raise.
+    ``shard`` and ``block`` are the vectors of a part of either side, by default what fits in BYTES.
     """
     kinds = "kind" in queries.columns and "kind" in corpus.columns
     queries, corpus = (df if kinds else df.withColumn("kind", F.lit(None).cast("string")) for df in (queries, corpus))
-    shards = F.greatest(F.lit(1), F.ceil(F.count("*") / shard)).cast("int")
-    n_shards = corpus.agg(shards.alias("n")).first()["n"]
-    n_blocks = queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("n")).first()["n"]
+    queries, corpus = queries.where("vector is not null"), corpus.where("vector is not null")
+    many = corpus.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("size")).first()
+    fit = max(TILE, BYTES // (8 * max(many["size"] or 1, 1)))
+    # a small corpus is still spread over the cluster's cores
+    n_shards = max(1, -(-many["n"] // (shard or fit)), 0 if shard else min(corpus.sparkSession.sparkContext.defaultParallelism, many["n"] // TILE))
+    n_blocks = max(1, -(-queries.count() // (block or fit)))
     asked = queries.select("query_id", "kind", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
     held = corpus.select("vec_id", "kind", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def best(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(rows):
             return pd.DataFrame({"query_id": [], "vec_id": [], "sim": []}).astype({"query_id": "int64", "vec_id": "int64", "sim": "float64"})
-        rows = rows.sort_values("vec_id")
-        ids = rows.vec_id.to_numpy()
-        sims = np.stack(ask.vector) @ np.stack(rows.vector).T
-        sims[ask.query_id.to_numpy()[:, None] == ids[None, :]] = -np.inf
-        if kinds:
-            sims[ask.kind.to_numpy()[:, None] == rows.kind.to_numpy()[None, :]] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(sims, order, axis=1).ravel()
-        out = pd.DataFrame({"query_id": np.repeat(ask.query_id.to_numpy(), order.shape[1]), "vec_id": ids[order.ravel()], "sim": found})
-        return out[np.isfinite(found)]
+        ids, held_vectors = rows.vec_id.to_numpy(), np.stack(rows.vector).T
+        parts = []
+        for at in range(0, len(ask), TILE):
+            some = ask.iloc[at : at + TILE]
+            sims = np.stack(some.vector) @ held_vectors
+            sims[some.query_id.to_numpy()[:, None] == ids[None, :]] = -np.inf
+            if kinds:
+                sims[some.kind.to_numpy()[:, None] == rows.kind.to_numpy()[None, :]] = -np.inf
+            q, c = best_of(sims, k)
+            order = np.lexsort((ids[c], -sims[q, c], q))
+            q, c = q[order], c[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k  # the place among the query's own
+            parts.append(pd.DataFrame({"query_id": some.query_id.to_numpy()[q[keep]], "vec_id": ids[c[keep]], "sim": sims[q[keep], c[keep]]}))
+        return pd.concat(parts)
 
     found = asked.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInPandas(best, "query_id long, vec_id long, sim double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
@@ -50,7 +67,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, shard: int = SHARD, blo
 
 
 def graded(found: DataFrame, qrels: DataFrame) -> DataFrame:
-    """``found`` with ``relevance``: the grade of (query_id, vec_id), 0 where there is none."""
+    """``found`` with ``relevance``: the grade of (query_id, vec_id), 0 where there is none.
+
+    ``qrels``: query_id, vec_id, relevance, and ``ord`` where a pair may be judged more than once; then the last one counts.
+    """
+    if "ord" in qrels.columns:
+        qrels = qrels.groupBy("query_id", "vec_id").agg(F.max_by("relevance", "ord").alias("relevance"))
     return found.join(qrels, ["query_id", "vec_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
