@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01, seeded
+from ..session import written
 
 BINS = 4096
 
@@ -20,8 +21,8 @@ def bernoulli(df: DataFrame, key: str | Column, share: float, seed: str) -> Data
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join in which null keys meet; the left side's keys stay."""
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    """A join in which null keys meet; the left side's keys stay. Without keys the right side has one row."""
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] or F.lit(True)
     return left.join(right.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, how).drop(*(f"_of_{k}" for k in keys))
 
 
@@ -43,6 +44,7 @@ def first_of_groups(df: DataFrame, groups: list[str], key: str, seed: str, caps:
     # the bin that the cut runs through, and how many of its rows are left; a group below its cap has none
     cut = cut.where((F.col("_before") <= F.col("cap")) & (F.col("_before") + F.col("_n") > F.col("cap")))
     cut = cut.groupBy(*groups).agg(F.min("_bin").alias("_cut"), F.min_by(F.col("cap") - F.col("_before"), "_bin").alias("_left"))
+    cut = written(cut)  # a row for each group; both halves below read it, so the counting isn't done for each
     if groups:
         joined = null_safe(tagged, cut, groups, "left")
     else:
@@ -72,6 +74,7 @@ def balanced_buckets(
     for at, value in sorted(steps):
         times = F.when(edge >= F.lit(at), F.lit(value)).otherwise(times)
     sizes = df.groupBy("bucket").agg(F.count("*").alias("n")).where((edge >= F.lit(low)) & (edge < F.lit(high))).withColumn("times", times)
+    sizes = written(sizes)  # a row for each bucket
     base = sizes.agg(F.floor(F.min(F.col("n") / F.col("times")) / F.lit(ratio)).alias("base"))
     caps = sizes.crossJoin(F.broadcast(base)).select("bucket", F.floor(F.col("base") * F.col("times")).alias("cap"))  # one row by buckets
     return first_of_groups(df, ["bucket"], key, seed, F.broadcast(caps))
@@ -95,7 +98,7 @@ def balanced_categories(df: DataFrame, lang: str, cate: str, key: str, langs: tu
     over categories in alphabetical order: a category keeps floor(running share) - floor(running share before it).
     """
     df = df.where(F.col(lang).isin(*langs))
-    sizes = df.groupBy(lang, cate).agg(F.count("*").alias("n"))
+    sizes = written(df.groupBy(lang, cate).agg(F.count("*").alias("n")))  # a row for each category
     rare = sizes.groupBy(lang).agg(F.percentile("n", F.lit(percent)).alias("rare"))
     sizes = sizes.join(F.broadcast(rare), lang)
     middle = sizes.where("n > rare").groupBy(lang).agg(F.floor(F.median("n")).alias("target"))
