@@ -94,9 +94,9 @@ def _system(spark: SparkSession, path: str):
 
 
 def datasets(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the ``*.jsonl`` files of a folder, sorted."""
+    """Names of a folder's ``*.jsonl``, sorted; each is a file or a folder of part files."""
     system, path = _system(spark, folder)
-    names = [s.getPath().getName() for s in system.listStatus(path) if s.isFile()]
+    names = [s.getPath().getName() for s in system.listStatus(path)]
     return sorted(n[: -len(".jsonl")] for n in names if n.endswith(".jsonl"))
 
 
@@ -106,7 +106,7 @@ def merged(spark: SparkSession, folder: str, names: list[str], schema: str) -> D
     found = [f"{folder}/{n}.jsonl" for n in names if n in there]
     if not found:
         return spark.createDataFrame([], schema).withColumn("src", F.lit(None).cast("string"))
-    return spark.read.schema(schema).json(found).withColumn("src", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
+    return spark.read.schema(schema).json(found).withColumn("src", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
 
 
 def line_count(spark: SparkSession, path: str) -> int:
@@ -141,16 +141,44 @@ def append(df: DataFrame, path: str) -> None:
     encoded(df).write.mode("append").text(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """The whole folder swapped for new rows, which may have been read from it."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions that ``replace`` has committed and not yet removed."""
+    system, target = _system(spark, path)
+    names = [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+    return sorted(int(n[len("version=") :]) for n in names if n.startswith("version=") and n[len("version=") :].isdigit())
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Where the rows of ``path`` are read: the last version that ``replace`` committed, or the folder that was appended to."""
+    found = versions(spark, path)
+    return f"{path}/version={found[-1]}" if found else path
+
+
+def replace(df: DataFrame, path: str, kept: int = 2) -> None:
+    """New rows as the next version of ``path``, which may have been read from its present one; read it at ``current``.
+
+    A version appears complete, by one rename, beside the one before, so there is always one to read. The last ``kept``
+    versions stay for readers under way. Of two writers at once the second raises and can try again.
+    """
     spark = df.sparkSession
-    aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    found = versions(spark, path)
     encoded(df).write.text(aside)
     system, target = _system(spark, path)
-    if system.exists(target):
-        system.rename(target, _system(spark, old)[1])
-    system.rename(_system(spark, aside)[1], target)
-    system.delete(_system(spark, old)[1], True)
+    system.mkdirs(target)
+    number = found[-1] + 1 if found else 1
+    new, goal = _system(spark, aside)[1], _system(spark, f"{path}/version={number}")[1]
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(goal.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(new, goal, spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception:
+        system.delete(new, True)
+        raise
+    for status in system.listStatus(target):
+        name = status.getPath().getName()
+        old = int(name[len("version=") :]) <= number - kept if name.startswith("version=") and name[len("version=") :].isdigit() else True
+        if old:
+            system.delete(status.getPath(), True)
 
 
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: str) -> DataFrame:
