@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import labels, profiles, ranking, sampled
+from . import labels, profiles, ranking, sampled, stores
 
-PARTS = (ranking, sampled, labels, profiles)
+PARTS = (ranking, sampled, labels, profiles, stores)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for part in PARTS for n, q in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {n: s for part in PARTS for n, s in part.ORACLE_SQL.items()}

@@ -196,7 +196,7 @@ def stream_resume(spark, sf):
     for part in (docs.where("doc_id % 2 = 0"), docs):
         encoded(part).write.mode("append").text(f"{base}/in")
         incremental.ingest(spark, f"{base}/in", "doc_id long, lang string", f"{base}/out", f"{base}/checkpoint", ["doc_id"]).awaitTermination()
-    return spark.read.schema("doc_id long, lang string").parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select("doc_id", "lang")
 
 
 QUERIES = {f.__name__: f for f in (script_profile, script_mismatch, b64_run_filter, search_topk_docs, title_concat, token_truncate_discard, batch_ids_by_char_budget, profile_summary, percentile_nearest, percentile_linear, freq_of_freq, duplicate_pairs, score_vs_length, topn_counter, lang_cate_grouping_sets, pair_reuse, threshold_sweep, threshold_sweep_exact, threshold_calibration, threshold_summary, search_provider_docs, unquoted_queries, quota_errors, length_sorted_batches, length_profile, rank_weighted_means, kde_thresholds, numbered_list_parse, rate_window_requests, rate_window_tokens, tumbling_events, session_events, stream_resume)}
@@ -252,6 +252,11 @@ ORACLE_SQL = {
     "title_concat": f"WITH {SEARCH} SELECT page_id, sha256(CASE WHEN {fx.strip('title')} <> '' THEN {fx.strip('title')} || ' ' || content ELSE content END) AS digest FROM search",
     "token_truncate_discard": f"""WITH {PAIRS}, t AS (SELECT k, document, regexp_extract_all(document, '(\\s*(?:\\w+|[^\\w\\s]))', 1) AS p, len(regexp_extract_all(query, '\\w+|[^\\w\\s]')) AS q FROM pairs)
         SELECT k, len(p) > 20 AS was_cut, least(len(p), 20)::INTEGER AS n_tokens, sha256(CASE WHEN len(p) > 20 THEN array_to_string(p[1:20], '') ELSE document END) AS digest FROM t WHERE q + least(len(p), 20) <= 40""",
+    "batch_ids_by_char_budget": """WITH RECURSIVE r AS (SELECT doc_id // 20 AS list, doc_id, greatest(n_chars // 3, 1) AS size, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i FROM documents),
+        g AS (SELECT list, i, doc_id, 0 AS batch, 1 AS n, 10 + size AS used FROM r WHERE i = 1 UNION ALL
+            SELECT r.list, r.i, r.doc_id, CASE WHEN used + size > 5000 OR n >= 6 THEN batch + 1 ELSE batch END, CASE WHEN used + size > 5000 OR n >= 6 THEN 1 ELSE n + 1 END, CASE WHEN used + size > 5000 OR n >= 6 THEN 10 + size ELSE used + size END
+            FROM g JOIN r ON r.list = g.list AND r.i = g.i + 1)
+        SELECT doc_id, batch FROM g""",
     "profile_summary": "SELECT lang, count(n_chars) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, round(stddev_samp(n_chars), 6) AS sd FROM documents GROUP BY lang",
     "percentile_nearest": "WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT lang, p, n_chars AS value FROM r, (VALUES (50), (90), (95), (99)) t(p) WHERE i = least(floor(n * p / 100), n - 1)",
     "percentile_linear": "SELECT lang, p, round(v, 6) AS value FROM (SELECT lang, unnest([50, 90, 95, 99]) AS p, unnest(quantile_cont(n_chars, [0.5, 0.9, 0.95, 0.99])) AS v FROM documents GROUP BY lang)",

@@ -5,6 +5,7 @@ import pathlib
 import random
 import uuid
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -120,6 +121,46 @@ def test_percentiles(spark):
     assert profile.linear_percentiles(df, [], "v", [50]).first()["value"] == 2.5
 
 
+def test_percentiles_of_many_values(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.choice([None, 0.5, rng.random(), float(rng.randint(0, 9))])) for _ in range(6000)]
+    df = spark.createDataFrame([*rows, ("one", 7.0), ("none", None)], "g string, v double")
+    near = {(r["g"], r["p"]): r["value"] for r in profile.nearest_percentiles(df, ["g"], "v", [0, 37, 50, 99, 100]).collect()}
+    between = {(r["g"], r["p"]): r["value"] for r in profile.linear_percentiles(df, ["g"], "v", [0, 37, 50, 99, 100]).collect()}
+    for g in ("a", None, "one"):
+        values = sorted(v for h, v in [*rows, ("one", 7.0)] if h == g and v is not None)
+        for p in (0, 37, 50, 99, 100):
+            assert near[g, p] == values[min(len(values) * p // 100, len(values) - 1)]
+            assert between[g, p] == pytest.approx(float(np.percentile(values, p)))
+    assert len(near) == len(between) == 15
+    rest = {r["g"]: (r["n"], r["median"]) for r in profile.summary(df, ["g"], "v").collect()}
+    assert rest["none"] == (0, None) and rest["one"] == (1, 7.0) and len(rest) == 4
+
+
+def test_trailing_over_the_ends_of_spans(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["u", "u", "w"]), 3600 * 40 + rng.randint(-200, 4000), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, user_id string, s long, value double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["event_id"]: r["n_trailing"] for r in incremental.trailing(df, 60).collect()}
+    assert got == {i: sum(u == v and s - 60 <= t <= s for _, v, t, _ in rows) for i, u, s, _ in rows}
+
+
+def test_top_k_with_ties_and_small_parts(spark):
+    rows = [(i, None if i == 7 else [float(i % 3), 1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    got = retrieval.top_k(df.where("vec_id in (2, 7)").withColumnRenamed("vec_id", "query_id"), df, 4, shard=8, block=1).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 5), (2, 8), (2, 11), (2, 14)]
+    assert not retrieval.top_k(df.limit(0).withColumnRenamed("vec_id", "query_id"), df, 4).collect()
+
+
+def test_ingest_keeps_repeated_batches_once_and_null_keys(spark, tmp_path):
+    source, sink, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "mark"))
+    for rows in ([(1, "a"), (None, "n")], [(None, "m"), (1, "b"), (2, "c")]):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").json(source)
+        incremental.ingest(spark, source, "k long, v string", sink, mark, ["k"]).awaitTermination()
+    assert sorted((r["k"] or 0, r["v"]) for r in spark.read.parquet(sink).collect()) == [(0, "n"), (1, "a"), (2, "c")]
+
+
 def test_sweep_matches_plain_counts(spark):
     rng = random.Random(1)
     rows = [(rng.choice([0.1, 0.25, 0.5, rng.random()]), rng.random() < 0.4) for _ in range(80)]
@@ -321,8 +362,10 @@ def test_jsonl_scans(spark, tmp_path):
 def test_replace_and_upsert(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     jsonl.append(spark.createDataFrame([(1, "a")], "k int, v string"), path)
-    jsonl.replace(spark.read.schema("k int, v string").json(path).withColumn("v", F.lit("b")), path)
-    assert [tuple(r) for r in spark.read.schema("k int, v string").json(path).collect()] == [(1, "b")]
+    for v in "bcd":
+        jsonl.replace(spark.read.schema("k int, v string").json(jsonl.current(spark, path)).withColumn("v", F.lit(v)), path)
+        assert [tuple(r) for r in spark.read.schema("k int, v string").json(jsonl.current(spark, path)).collect()] == [(1, v)]
+    assert jsonl.versions(spark, path) == [2, 3]
     cache = f"file://{tmp_path}/cache"
     for v in ("x", "y"):
         out = jsonl.upsert(spark, spark.createDataFrame([(1, v)], "k int, v string"), cache, "k")
