@@ -11,7 +11,9 @@
 5. Buckets that still hold several components are finished in bounded blocks: every member outside the bucket's main
    component is compared with every other member, so no link is lost to the neighbour rule. Comparisons stay inside the
    block; what leaves it is the members that have a plausible partner, and then the verified links, one for each member and
-   component.
+   component. Members of buckets of more than WIDE blocks are first dealt anew by their rarest shingles (two sets that reach
+   the threshold share one of the rarest n - ceil(threshold * n) + 1 of either), so that many pages of one template, which
+   share the template alone, never meet; the cost of that is a few times their shingles, not their number squared.
 
 The threshold is an argument, 85 percent by default; bands and posterior bounds follow from it. The chance that banding
 misses a pair at the threshold is at most BAND_MISS: (1 - 0.85**6)**24 at 0.85, (1 - 0.80**5)**28 at 0.80. Nothing is capped: a bucket of any
@@ -37,6 +39,10 @@ WORDS, PERCENT = 5, 85
 HASHES, STEP, MISS, BAND_MISS = 144, 16, 1e-5, 2e-5
 #: Members of a block when a bucket is finished; hashes that are looked up at a time in it; ids that may be broadcast (16 bytes each).
 BLOCK, LOOKED_UP, FEW = 256, 1 << 16, 500_000
+#: Blocks of a bucket above which its members are dealt by rare shingles; members of a bucket that are neighbours, and compared, anyway.
+WIDE, SIDE_BY_SIDE = 64, 2
+#: Sets of a shingle above which it is counted when shingles are put in order of rarity.
+RARE = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEED = np.random.default_rng(20240607)
 FACTORS = _SEED.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -291,20 +297,53 @@ def joined_up(pairs: DataFrame, verify, roots: DataFrame | None, rounds: int) ->
     return roots
 
 
-def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None, percent: int = PERCENT) -> DataFrame:
+def rare_shingles(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """rep, hash: of each set its n - ceil(threshold * n) + 1 rarest shingles; sets that reach the threshold share one of them.
+
+    Any order of all shingles that is the same for every set will do, so only shingles of more than RARE sets are counted.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("hash", pa.int64()), ("least", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for rep, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hashes = np.frombuffer(x, np.int64)
+                n = len(hashes)
+                if n:
+                    yield batch(schema, rep=np.full(n, rep), hash=hashes, least=np.full(n, n + (-percent * n) // 100 + 1))
+
+    rows = materialize(map_batches(sets.select("rep", "hashes"), run, "rep long, hash long, least long"))
+    common = rows.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > RARE)
+    rows = rows.join(common, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("n", "hash"))
+    return rows.withColumn("rank", rank).where("rank <= least").select("rep", "hash")
+
+
+def open_sizes(rows: DataFrame) -> DataFrame:
+    """key, n, main (its largest component), targets and probes (their blocks) of the buckets that hold several components."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    return sizes.where("comps > 1").selectExpr("key", "n", "main", f"cast(ceil(n / {BLOCK}) as int) targets", f"cast(ceil((n - most) / {BLOCK}) as int) probes")
+
+
+def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Blocks (key, i, j) of members with a plausible partner in another component of a bucket they share.
 
-    Columns: key, i, j, rep, comp, probe. A pair that shares several buckets is looked at in the first of them only.
+    Columns: key, i, j, rep, comp, probe. A pair that shares several buckets is looked at in the first of them only. Members of
+    wide buckets meet by rare shingles of their full sets, in whatever bucket; there band is -1.
     """
     least, (size, _) = least_matches(percent), banding(percent)
     if roots is None:
         rows = rows.selectExpr("key", "band", "rep", "rep comp")
     else:
         rows = rows.join(roots.selectExpr("node rep", "root"), "rep", "left").selectExpr("key", "band", "rep", "coalesce(root, rep) comp")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     # two members were neighbours and have been compared
-    sizes = sizes.where("comps > 1 and n > 2").selectExpr("key", "main", f"cast(ceil(n / {BLOCK}) as int) targets", f"cast(ceil((n - most) / {BLOCK}) as int) probes")
-    rows = materialize(rows.join(sizes, "key"))
+    rows = materialize(rows.join(open_sizes(rows).where(F.col("n") > SIDE_BY_SIDE), "key"))
+    wide = rows.where(F.col("targets") > WIDE).select("rep", "comp")
+    if not wide.isEmpty():
+        wide = materialize(wide.distinct())
+        dealt = rare_shingles(full_sets(docs, wide.select("rep")), percent).join(wide, "rep")
+        dealt = materialize(dealt.select(F.col("hash").alias("key"), F.lit(-1).alias("band"), "rep", "comp"))
+        rows = rows.where(F.col("targets") <= WIDE).unionByName(dealt.join(open_sizes(dealt), "key"))
     at = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     targets = rows.select("key", "band", "rep", "comp", at("targets").alias("i"), every("probes").alias("j"), F.lit(False).alias("probe"))
@@ -315,7 +354,7 @@ def unfinished(rows: DataFrame, classes: DataFrame, roots: DataFrame | None, per
         one, two = block[block.probe.to_numpy()], block[~block.probe.to_numpy()]
         used_one, used_two = np.zeros(len(one), bool), np.zeros(len(two), bool)
         if len(one) and len(two):
-            right, comps, band = unpacked(two.sig), two.comp.to_numpy(), int(block.band.iloc[0])
+            right, comps, band = unpacked(two.sig), two.comp.to_numpy(), max(int(block.band.iloc[0]), 0)
             for k, (comp, sig) in enumerate(zip(one.comp, unpacked(one.sig))):
                 other = np.flatnonzero(comps != comp)
                 earlier = (right[other, : band * size] == sig[: band * size]).reshape(len(other), band, size).all(axis=2).any(axis=1)
@@ -372,7 +411,7 @@ def placed(docs: DataFrame, percent: int) -> DataFrame:
     if not pairs.isEmpty():
         sets = materialize(full_sets(docs, pairs.selectExpr("a rep").union(pairs.selectExpr("b rep"))))
         roots = joined_up(pairs, lambda some: verified(some, sets, percent), roots, rounds=2)
-    late = materialize(unfinished(rows, classes, roots, percent))
+    late = materialize(unfinished(rows, classes, roots, docs, percent))
     if not late.isEmpty():
         links = materialize(block_links(late, full_sets(docs, late.select("rep")), percent))
         roots = contracted(relabelled(links, roots), roots)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from relloom.llm import common, neardup
 
@@ -57,16 +58,31 @@ def test_families_of_copies(spark, docs):
     assert run(docs(rows)) == brute(rows)
 
 
-def test_blocks_finish_what_neighbours_miss(spark, docs, monkeypatch):
+@pytest.mark.parametrize("wide", [64, 0])
+def test_blocks_finish_what_neighbours_miss(spark, docs, monkeypatch, wide):
     """Near the threshold many pairs of a bucket are no links, so components meet only through certain members."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "joined_up", lambda pairs, sets, roots, rounds: None)  # all is left to the blocks
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    monkeypatch.setattr(neardup, "RARE", 2)
+    monkeypatch.setattr(neardup, "SIDE_BY_SIDE", 1)  # buckets of two are left to the blocks as well
+    monkeypatch.setattr(neardup, "joined_up", lambda pairs, sets, roots, rounds: None)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(130)]
     rows = list(enumerate(family(rng, base, 60, 6)))
-    got, want = run(docs(rows)), brute(rows)
-    # pairs that were alone in a bucket are the neighbours' part; every larger bucket is finished here
-    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
+    assert run(docs(rows)) == brute(rows)
+
+
+def test_rare_shingles_of_one_template_are_their_own(spark):
+    """Sets that share 70 of 100 shingles never meet; sets that share 95 do, and the number taken is what the threshold needs."""
+    page = lambda k: np.array([*range(70), *range(1000 * k, 1000 * k + 30)], np.uint64)
+    sets = {k: page(k) for k in range(1, 90)}
+    sets[90] = np.append(sets[5][:95], np.arange(5, dtype=np.uint64) + np.uint64(999_000))
+    frame = spark.createDataFrame([(k, v.tobytes()) for k, v in [*sets.items(), (91, np.zeros(0, np.uint64))]], "rep long, hashes binary")
+    held = {}
+    for r in neardup.rare_shingles(frame, 85).collect():
+        held.setdefault(r["hash"], []).append(r["rep"])
+    assert {tuple(sorted(v)) for v in held.values() if len(v) > 1} == {(5, 90)}
+    assert sum(len(v) for v in held.values()) == 90 * 16
 
 
 def test_odd_rows(spark, docs, odd):
